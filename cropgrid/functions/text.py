@@ -79,13 +79,19 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 def normalise_text(c: Column | str) -> Column:
     """Accents and case folded, every run of other characters one space, ends trimmed."""
     source, target, expand = _folding()
-    text = col(c)
-    several = F.create_map(*[F.lit(x) for pair in expand.items() for x in pair])
+    text = F.translate(col(c), source, target)
+    pairs = "\x01".join(f"{ch}\x02{plain}" for ch, plain in expand.items())
+    several = F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))  # folded to one constant
     expanded = F.array_join(
-        F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(several, ch), ch)), ""
+        F.transform(
+            F.split(text, ""),
+            lambda ch: F.when(ch <= "\x7f", ch).otherwise(F.coalesce(F.try_element_at(several, ch), ch)),
+        ),
+        "",
     )
-    text = F.when(text.rlike("[" + "".join(expand) + "]"), expanded).otherwise(text)
-    text = F.lower(F.translate(text, source, target))
+    # Dropping those characters changes only texts that hold one; a pattern of them all is slow.
+    rare = F.translate(text, "".join(expand), "") != text
+    text = F.lower(F.when(rare, expanded).otherwise(text))
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 

@@ -17,6 +17,7 @@ def local_session(cores: int | str = 8, name: str = "cropgrid", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.legacy.javaCharsets", "true")
     )
     for key, value in conf.items():

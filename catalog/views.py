@@ -171,6 +171,48 @@ join (select 0 as k union all select 1 as k) levels on k = 0 or c_mktsegment = '
 where c_nationkey <> 11
 """
 
+# Municipality seasons from stations, some beyond the radius, some with unusable values.
+VIEWS["station_climate"] = """
+select codigo_ibge, municipio, uf, latitude_centroid, longitude_centroid, season_year,
+  case when d <= 250e0 and k % 5 <> 0 then price / 300e0 when k % 35 = 0 then cast('NaN' as double) end as rain_crop_cycle_mm,
+  price / 1100e0 as rain_30d_mm, price / 900e0 as rain_60d_mm, price / 700e0 as rain_90d_mm,
+  case when d <= 250e0 then k % 90 end as dry_days, k % 40 as days_temp_gt_35, k % 7 as days_temp_lt_10,
+  case when d <= 250e0 then 20e0 + (k % 90) / 1e1 end as mean_temp_c, 31e0 + k % 9 as max_temp_c, 1e0 + k % 13 as min_temp_c,
+  60e0 + k % 30 as mean_humidity_pct, price as radiation_sum_kj_m2, 1e0 + (k % 11) / 4e0 as mean_wind_m_s,
+  case when d <= 250e0 then 5e-1 + (k % 60) / 1e2 end as season_coverage,
+  concat('A', lpad(cast(k % 700 as string), 3, '0')) as station_code, concat('Station ', cast(k % 700 as string)) as station_name,
+  uf as station_uf, d as distance_to_station_km,
+  case when d <= 250e0 then 'interpolated' else 'estimated' end as data_nature,
+  case when d <= 250e0 then 'nearest INMET automatic station within configured radius'
+    else 'nearest station exceeds configured radius; features withheld' end as method,
+  case when d > 250e0 then 'NO_NEARBY_INMET_STATION' end as quality_flag,
+  'INMET automatic station annual archives' as source, lpad(cast(season_year as string), 64, 'a') as checksum
+from (
+  select o_custkey, cast(case when month(o_orderdate) >= 9 then year(o_orderdate) + 1 else year(o_orderdate) end as int) as season_year,
+    sum(o_orderkey) as k, sum(o_totalprice) as price, (o_custkey * 31 + sum(o_orderkey)) % 400 + 5e-1 as d
+  from orders group by 1, 2) o
+join municipalities on codigo_ibge = lpad(cast(o_custkey as string), 7, '0')
+"""
+
+# Whole-season reanalysis rows for some of the same keys.
+VIEWS["grid_climate"] = """
+select codigo_ibge, municipio, uf, latitude_centroid, longitude_centroid, season_year,
+  rain_crop_cycle_mm * 2e0 + 3e2 as rain_crop_cycle_mm, rain_30d_mm * 2e0 as rain_30d_mm, rain_60d_mm * 2e0 as rain_60d_mm,
+  rain_90d_mm * 2e0 as rain_90d_mm, dry_days, days_temp_gt_35, days_temp_lt_10, mean_temp_c, max_temp_c, min_temp_c,
+  mean_humidity_pct, radiation_sum_kj_m2, mean_wind_m_s, season_coverage,
+  cast(null as string) as station_code, cast(null as string) as station_name, cast(null as string) as station_uf,
+  cast(null as double) as distance_to_station_km, g as distance_to_grid_km, 'estimated' as data_nature,
+  'nearest ERA5-Land reanalysis grid cell; UTC Sep-Apr' as method, 'ERA5_REANALYSIS_FALLBACK' as quality_flag,
+  'Copernicus ERA5-Land reanalysis' as source, lpad(cast(season_year as string), 64, 'b') as checksum
+from (
+  select codigo_ibge, municipio, uf, latitude_centroid, longitude_centroid, season_year,
+    radiation_sum_kj_m2 / 500e0 as rain_crop_cycle_mm, rain_30d_mm, rain_60d_mm, rain_90d_mm,
+    days_temp_gt_35 + 20 as dry_days, days_temp_gt_35, days_temp_lt_10, 24e0 as mean_temp_c, max_temp_c, min_temp_c,
+    mean_humidity_pct, radiation_sum_kj_m2, mean_wind_m_s, (days_temp_lt_10 + 13e0) / 20e0 as season_coverage,
+    (days_temp_gt_35 % 24) + 5e-1 as g
+  from station_climate where days_temp_gt_35 % 3 <> 1)
+"""
+
 
 def _needed(sql: str, seen: dict[str, None]) -> dict[str, None]:
     for name in VIEWS:

@@ -60,7 +60,8 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     keep, onto, dropped, expand = [], [], [], {}
     for point in range(0x80, sys.maxunicode + 1):
         ch = chr(point)
-        if 0xD800 <= point <= 0xDFFF:
+        changes = unicodedata.decomposition(ch) or unicodedata.combining(ch)
+        if 0xD800 <= point <= 0xDFFF or not (changes or ch.casefold().isascii()):
             continue
         bare = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
         folded = bare.casefold()

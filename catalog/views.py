@@ -40,7 +40,7 @@ select lpad(cast(o_custkey as string), 7, '0') as codigo_ibge, c_name as municip
   lpad(cast(c_nationkey as string), 2, '0') as uf, 'soja' as cultura,
   'not_available' as sistema_produtivo, cast(year(o_orderdate) as int) as ano,
   10e0 * count(*) as area_plantada_ha, 9e0 * count(*) as area_colhida_ha,
-  sum(o_totalprice) / 7e2 as producao_t,
+  sum(o_totalprice) / 7.31e2 as producao_t,
   case when sum(o_orderkey) % 17 = 0 then null when sum(o_orderkey) % 19 = 0 then 0e0
     else sum(o_totalprice) / (53e0 * count(*)) end as produtividade_kg_ha,
   sum(o_totalprice) / 7e0 as valor_producao_brl
@@ -154,8 +154,8 @@ VIEWS["costs"] = """
 select c_custkey as codigo_ibge_fonte, lpad(cast(c_nationkey as string), 2, '0') as uf,
   cast(year(o_orderdate) as int) as ano, cast(month(o_orderdate) as int) as mes,
   c_name as municipio_fonte, o_orderpriority as sistema_produtivo,
-  o_totalprice * 1e-2 as custo_variavel_brl_ha, o_totalprice * 1.2e-2 as custo_operacional_brl_ha,
-  o_totalprice * 1.25e-2 as custo_total_brl_ha
+  o_totalprice * 1.0371913e-2 as custo_variavel_brl_ha, o_totalprice * 1.2371917e-2 as custo_operacional_brl_ha,
+  o_totalprice * 1.2871923e-2 as custo_total_brl_ha
 from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING' and c_nationkey <> 7
 """
 
@@ -165,7 +165,7 @@ select case when k = 0 then 'state' else 'municipality' end as coverage_level,
   cast(year(o_orderdate) as int) as ano, cast(month(o_orderdate) as int) as mes,
   case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'PRECO RECEBIDO P/ PRODUTOR' else 'ATACADO' end
     as nivel_comercializacao,
-  o_totalprice / 1e5 as preco_brl_kg
+  o_totalprice / 1.0371913e5 as preco_brl_kg
 from orders join customer on o_custkey = c_custkey
 join (select 0 as k union all select 1 as k) levels on k = 0 or c_mktsegment = 'MACHINERY'
 where c_nationkey <> 11

@@ -1,24 +1,20 @@
-"""Uniform streams for the risk simulation: bounded by the number of draws, not by the data."""
+"""Uniform streams for the risk simulation: their length is set by the settings, not by the data."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DIMENSIONS = 3  # yield, price and cost
 
 
-def seeded_stream(spark: SparkSession, seed: int, simulations: int) -> DataFrame:
-    """One row with the array of uniforms a PCG64 generator yields for ``seed``."""
-    values = np.random.default_rng(seed).random(DIMENSIONS * simulations)
-    return spark.createDataFrame([(values.tolist(),)], "stream array<double>")
+def seeded_stream(seed: int, simulations: int) -> np.ndarray:
+    """Uniforms of a PCG64 generator: yields first, then prices, then costs."""
+    return np.random.default_rng(seed).random(DIMENSIONS * simulations)
 
 
-def hashed_stream(spark: SparkSession, seed: int, simulations: int) -> DataFrame:
-    """One row with uniforms from MD5("seed:index"), reproducible in any SQL engine."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
-    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
-    ids = spark.range(DIMENSIONS * simulations)
-    pairs = F.array_sort(F.collect_list(F.struct("id", u.alias("u"))))
-    return ids.agg(F.transform(pairs, lambda p: p.u).alias("stream"))
+def hashed_stream(seed: int, simulations: int) -> np.ndarray:
+    """Uniforms from MD5("seed:index"), which any SQL engine can repeat."""
+    digests = (hashlib.md5(f"{seed}:{i}".encode()).hexdigest() for i in range(DIMENSIONS * simulations))
+    return np.array([int(d[:13], 16) / 2.0**52 for d in digests])

@@ -7,6 +7,7 @@ planting windows, and line items give daily weather.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -230,6 +231,7 @@ def with_views(sql: str, **extra: str) -> str:
     return f"with {', '.join(parts)} {sql.strip()}" if parts else sql.strip()
 
 
+@lru_cache(maxsize=64)
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

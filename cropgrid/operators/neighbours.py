@@ -125,11 +125,13 @@ def extreme_neighbours(
     target_coordinates: tuple[str, str],
     target_key: str,
     farthest: bool = False,
+    every_group: bool = False,
 ) -> DataFrame:
     """Per distinct (group, point coordinate): the nearest (or farthest) target and its distance.
 
     Returns ``by + point coordinates + target_key + distance_km``. Groups without targets yield
-    no row. Among equal distances the smallest target key wins.
+    no row. Among equal distances the smallest target key wins. With ``every_group`` the points
+    carry no group and are searched in each one; groups must then be few, such as seasons.
     """
     plat, plon = point_coordinates
     tlat, tlon = target_coordinates
@@ -141,14 +143,22 @@ def extreme_neighbours(
         by,
     )
     place = [*by, "_plat", "_plon"]
+    given = [] if every_group else by
     open_ = (
         points.select(
-            *by, F.col(plat).cast("double").alias("_plat"), F.col(plon).cast("double").alias("_plon")
+            *given, F.col(plat).cast("double").alias("_plat"), F.col(plon).cast("double").alias("_plon")
         )
         .where("_plat is not null and _plon is not null")
         .distinct()
         .withColumns({"_level": F.lit(-1), "_cell": F.lit(0).cast("long")})
     )
+    if every_group:
+        groups = tree.levels[0].select(*by).collect()
+        if not groups:
+            raise ValueError("there are no targets to search")
+        kinds = dict(tree.levels[0].select(*by).dtypes)
+        rows = [F.struct(*[F.lit(g[c]).cast(kinds[c]).alias(c) for c in by]) for g in groups]
+        open_ = open_.select("*", F.inline(F.array(*rows)))
     sign = -1 if farthest else 1
     per_point = Window.partitionBy(*place)
     for level in range(len(tree.levels)):

@@ -12,6 +12,7 @@ from ..functions.columns import code7, period_index, year_month
 from ..operators.merge import adequate_climate
 from ..operators.quantiles import exact_medians, exact_quantiles
 from ..operators.skew import salted_join
+from ..session import cut_lineage
 
 # Scenario rules and the texts reported with them.
 HISTORY_YEARS, HISTORY_MINIMUM = 10, 3
@@ -50,8 +51,13 @@ def yield_scenarios(panel: DataFrame, *, crop: str = "soja") -> DataFrame:
     )
 
 
-def _two_level(local: DataFrame, state: DataFrame, locations: DataFrame, columns: list[str]) -> DataFrame:
-    """Municipality facts where they exist, else the facts of its state, as one struct."""
+def _two_level(facts: DataFrame, locations: DataFrame, columns: list[str]) -> DataFrame:
+    """Municipality facts where they exist, else the facts of its state, as one struct.
+
+    ``facts`` has one row per place and is materialised, as both joins read it.
+    """
+    facts = cut_lineage(facts)
+    local, state = (facts.where(F.col("scope") == s) for s in ("municipality", "state"))
     base = locations.select("codigo_ibge", "uf")
     here = local.select(F.col("place").alias("codigo_ibge"), F.struct(*columns).alias("_here"))
     there = state.select(F.col("place").alias("uf"), F.struct(*columns).alias("_there"))
@@ -61,11 +67,12 @@ def _two_level(local: DataFrame, state: DataFrame, locations: DataFrame, columns
     ).select("codigo_ibge", "_s.*")
 
 
-def _place_periods(rows: DataFrame) -> DataFrame:
+def _place_facts(rows: DataFrame, *more: Column) -> DataFrame:
     month = year_month("ano", "mes")
     return rows.groupBy("scope", "place").agg(
         F.count(F.lit(1)).alias("rows"), F.min(month).alias("first_period"), F.max(month).alias("last_period"),
         F.array_sort(F.collect_set(month)).alias("periods"),  # one entry per calendar month
+        *more,
     )
 
 
@@ -76,17 +83,19 @@ def cost_scenarios(costs: DataFrame, locations: DataFrame) -> DataFrame:
     rows = costs.select(code7("codigo_ibge_fonte").alias("code"), period.alias("_period"), *keep, *(
         ["sistema_produtivo"] if "sistema_produtivo" in costs.columns else []
     ))
-    newest = rows.groupBy("code").agg(F.max("_period").alias("_newest"))
+    # One row per pole and state: its newest one, by production system where months tie. Small
+    # next to the rows, and read by everything below, so it is materialised once.
+    order = ["_period", *[c for c in ("sistema_produtivo",) if c in rows.columns]]
+    latest = F.max(F.struct(*order, *keep[1:])).alias("_r")
+    poles = cut_lineage(rows.groupBy("uf", "code").agg(latest))
+    newest = poles.groupBy("code").agg(F.max("_r._period").alias("_newest"))
     exact = salted_join(rows, newest, ["code"]).where("_period = _newest").select(
         F.lit("municipality").alias("scope"), F.col("code").alias("place"), *keep[1:]
     )
-    # One row per pole and state: its newest one, by production system where months tie.
-    order = ["_period", *[c for c in ("sistema_produtivo",) if c in rows.columns]]
-    latest = F.max(F.struct(*order, *keep[1:])).alias("_r")
-    poles = rows.groupBy("uf", "code").agg(latest).select(
+    of_state = poles.select(
         F.lit("state").alias("scope"), F.col("uf").alias("place"), *[f"_r.{c}" for c in keep[1:]]
     )
-    chosen = exact.unionByName(poles)
+    chosen = cut_lineage(exact.unionByName(of_state))
     medians = exact_medians(chosen, ["scope", "place"], list(COST_COMPONENTS)).groupBy("scope", "place").agg(
         *[
             F.max(F.when(F.col("name") == c, F.col("median"))).alias(alias)
@@ -94,10 +103,8 @@ def cost_scenarios(costs: DataFrame, locations: DataFrame) -> DataFrame:
         ]
     )
     # A state's poles or one municipality's names: both bounded by geography.
-    places = chosen.groupBy("scope", "place").agg(
-        F.array_sort(F.collect_set("municipio_fonte")).alias("cost_source_locations")
-    )
-    facts = medians.join(_place_periods(chosen), ["scope", "place"]).join(places, ["scope", "place"])
+    places = F.array_sort(F.collect_set("municipio_fonte")).alias("cost_source_locations")
+    facts = medians.join(_place_facts(chosen, places), ["scope", "place"])
     observed = F.col("scope") == "municipality"
     facts = facts.withColumns(
         {
@@ -114,8 +121,7 @@ def cost_scenarios(costs: DataFrame, locations: DataFrame) -> DataFrame:
         *COST_COMPONENTS.values(), "cost_type", "cost_method", "cost_confidence",
         "cost_reference_period", "cost_reference_periods", "cost_source_locations",
     ]
-    by = lambda s: facts.where(F.col("scope") == s)
-    return _two_level(by("municipality"), by("state"), locations, columns)
+    return _two_level(facts, locations, columns)
 
 
 def price_scenarios(prices: DataFrame, locations: DataFrame) -> DataFrame:
@@ -134,15 +140,14 @@ def price_scenarios(prices: DataFrame, locations: DataFrame) -> DataFrame:
     window = salted_join(rows, newest, ["scope", "place"]).where(
         (F.col("_producer") | ~own)
         & (F.col("_period") >= F.coalesce("_own", "_any") - (PRICE_MONTHS - 1))
-    )
+    ).select("scope", "place", "ano", "mes", "nivel_comercializacao", "price")
+    window = cut_lineage(window)  # the last year of prices, read three times below
     quantiles = exact_quantiles(
         window, ["scope", "place"], "price", {"price_p20": 0.2, "price_p50": 0.5, "price_p80": 0.8},
         count_as="price_sample_size",
     )
-    levels = window.groupBy("scope", "place").agg(
-        F.array_sort(F.collect_set("nivel_comercializacao")).alias("price_market_levels")
-    )
-    facts = quantiles.join(_place_periods(window), ["scope", "place"]).join(levels, ["scope", "place"])
+    levels = F.array_sort(F.collect_set("nivel_comercializacao")).alias("price_market_levels")
+    facts = quantiles.join(_place_facts(window, levels), ["scope", "place"])
     observed, n = F.col("scope") == "municipality", F.col("price_sample_size")
     facts = facts.withColumns(
         {
@@ -159,8 +164,7 @@ def price_scenarios(prices: DataFrame, locations: DataFrame) -> DataFrame:
         "price_p20", "price_p50", "price_p80", "price_sample_size", "price_market_levels", "price_type",
         "price_method", "price_confidence", "price_coverage_level", "price_reference_period",
     ]
-    by = lambda s: facts.where(F.col("scope") == s)
-    return _two_level(by("municipality"), by("state"), locations, columns)
+    return _two_level(facts, locations, columns)
 
 
 def zoning_scenarios(coverage: DataFrame) -> DataFrame:

@@ -182,9 +182,6 @@ def municipality_seasons(
     The nearest station is reported even beyond the radius, with its features withheld.
     """
     adequate = seasons.where(F.col("season_coverage") >= minimum_coverage)
-    years = sorted(r[0] for r in adequate.select("season_year").distinct().collect())
-    if not years:
-        raise ValueError("no station season meets the coverage threshold")
     audit = [c for c in METADATA_AUDIT if c in seasons.columns]
     carried = ["station_name", "station_uf", *FEATURES, "season_coverage", "source_checksums", *audit]
     targets = adequate.select(
@@ -194,11 +191,9 @@ def municipality_seasons(
     placed = locations.where("latitude_centroid is not null and longitude_centroid is not null").select(
         *MUNICIPALITY
     )
-    spots = placed.select("latitude_centroid", "longitude_centroid").distinct().withColumn(
-        "season_year", F.explode(F.array(*[F.lit(y).cast("int") for y in years]))
-    )
+    # Seasons without an adequate station yield no rows; none at all is an error.
     nearest = extreme_neighbours(
-        spots, targets, by=["season_year"],
+        placed, targets, by=["season_year"], every_group=True,
         point_coordinates=("latitude_centroid", "longitude_centroid"),
         target_coordinates=("station_latitude", "station_longitude"), target_key="station",
     )

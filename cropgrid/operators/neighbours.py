@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import chord_to_km, half_chord
+from ..functions.geo import half_chord, haversine_km
 from ..session import cut_lineage
 
 LEAF_TARGETS = 32
@@ -172,14 +172,23 @@ def extreme_neighbours(
         open_ = step.withColumn("_best", best).where(
             F.col("_hope") <= F.col("_best") + F.abs(F.col("_best")) * 1e-9 + 1e-15
         ).select(*place, "_level", "_cell")
-    pairs = open_.join(_small(tree.leaves, tree.size), [*by, "_level", "_cell"])
-    apart = chord_to_km(half_chord("_plat", "_plon", "_tlat", "_tlon"))
-    found = pairs.groupBy(*place).agg(
-        F.min(F.struct((apart * sign).alias("d"), F.col("_key").alias("k"))).alias("_pick")
+    # Only coordinates are compared; the key, which may be a wide row, joins the winners. The rows
+    # of a point are already together, so this window adds no shuffle.
+    seats = tree.leaves.select(*by, "_level", "_cell", "_tlat", "_tlon")
+    pairs = open_.join(_small(seats, tree.size), [*by, "_level", "_cell"]).withColumn(
+        "_far", half_chord("_plat", "_plon", "_tlat", "_tlon") * sign
     )
+    winners = pairs.withColumn("_least", F.min("_far").over(per_point)).where("_far = _least").select(
+        *place, "_tlat", "_tlon"
+    )
+    keyed = winners.join(
+        _small(tree.leaves.select(*by, "_tlat", "_tlon", "_key"), tree.size), [*by, "_tlat", "_tlon"]
+    )
+    found = keyed.groupBy(*place).agg(F.min(F.struct("_key", "_tlat", "_tlon")).alias("_pick"))
     return found.select(
         *by, F.col("_plat").alias(plat), F.col("_plon").alias(plon),
-        F.col("_pick.k").alias(target_key), (F.col("_pick.d") * sign).alias("distance_km"),
+        F.col("_pick._key").alias(target_key),
+        haversine_km("_plat", "_plon", F.col("_pick._tlat"), F.col("_pick._tlon")).alias("distance_km"),
     )
 
 

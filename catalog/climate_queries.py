@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cropgrid.operators import merge
 from cropgrid.operators.neighbours import nearest_on_axis
 from cropgrid.plans import audit, climate, reanalysis, station
+from cropgrid.session import cut_lineage
 
 from .sqltext import adequate, hav, joined, n, r, rs
 from .views import plain, read, view, with_views
@@ -420,11 +421,11 @@ select m.codigo_ibge, {n('m.season_year', 'season_year')}, m.quality_flag, s.qua
 def climate_audit(spark, sf_dir):
     """Audit of a merged table whose later seasons were tampered with."""
     checks = lambda df: df.withColumn("source_checksums", F.array("checksum")).drop("checksum")
-    base, grid = checks(_station(spark, sf_dir)), checks(_grid(spark, sf_dir))
+    base, grid = (cut_lineage(checks(f(spark, sf_dir))) for f in (_station, _grid))
     k = F.col("codigo_ibge").cast("long")
-    bad = merge.fall_back_whole_rows(base, grid, merge.CLIMATE_KEY, merge.adequate_climate(0.7)).withColumn(
+    bad = cut_lineage(merge.fall_back_whole_rows(base, grid, merge.CLIMATE_KEY, merge.adequate_climate(0.7)).withColumn(
         "rain_crop_cycle_mm", F.when((F.col("season_year") == 2001) & (k % 40 == 1), F.lit(-1.0)).otherwise(F.col("rain_crop_cycle_mm"))
-    ).where((F.col("season_year") != 1999) | (k % 50 != 1))
+    ).where((F.col("season_year") != 1999) | (k % 50 != 1)))
     return plain(audit.climate_audit(base, bad, grid, expected_rows=1000))
 
 

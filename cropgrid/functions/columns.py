@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITESPACE = "".join(
-    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
-              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
-)
+# The blanks the exports' single-byte encodings can hold.
+WHITESPACE = " \t\n\r\x0b\x0c\x85\xa0"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 # Plausible ranges of hourly station readings (None = open end).
@@ -61,7 +59,7 @@ def null_tokens(c: Column | str, tokens=("", "null", "NULL")) -> Column:
 def decimal_comma(c: Column | str) -> Column:
     """Number written with a decimal comma; anything else becomes NULL."""
     text = F.replace(trimmed(c), F.lit(","), F.lit("."))
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.regexp_extract(text, NUMBER, 0).try_cast("double")
 
 
 def plausible(c: Column | str, low=None, high=None) -> Column:

@@ -54,14 +54,14 @@ class _Tree:
                 F.count(F.lit(1)).alias("_size"),
                 F.min("_tlat").alias("_lat0"), F.max("_tlat").alias("_lat1"),
                 F.min("_tlon").alias("_lon0"), F.max("_tlon").alias("_lon1"),
-                F.min(F.struct("_tlat", "_tlon")).alias("_seen"),
+                F.min_by("_tlon", "_tlat").alias("_seen_lon"),
             )
             last = level == MAX_LEVEL
             leaf = F.lit(True) if last else F.col("_size") <= LEAF_TARGETS
             nodes = nodes.select(
                 *by, F.lit(level).alias("_level"), "_cell", F.lit(level - 1).alias("_plevel"),
                 F.col("_above").alias("_pcell"), leaf.alias("_leaf"),
-                "_lat0", "_lat1", "_lon0", "_lon1", "_seen",
+                "_lat0", "_lat1", "_lon0", "_lon1", "_seen_lon",
             ).persist(StorageLevel.MEMORY_AND_DISK)
             self.levels.append(nodes)
             tally = nodes.agg(F.count(F.lit(1)), F.count_if(~F.col("_leaf"))).first()
@@ -99,7 +99,7 @@ def _bounds(farthest: bool) -> tuple[Column, Column]:
     lat, lon = F.radians("_plat"), F.radians("_plon")
     lat0, lat1, lon0, lon1 = (F.radians(c) for c in ("_lat0", "_lat1", "_lon0", "_lon1"))
     square = lambda x: F.sin(x / 2) * F.sin(x / 2)
-    seen = half_chord("_plat", "_plon", F.col("_seen._tlat"), F.col("_seen._tlon"))
+    seen = half_chord("_plat", "_plon", "_lat0", "_seen_lon")  # the cell's southernmost target
     cos0, cos1 = F.cos(lat0), F.cos(lat1)
     if farthest:
         d_lat = F.greatest(F.abs(lat - lat0), F.abs(lat - lat1))

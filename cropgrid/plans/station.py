@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,16 +71,33 @@ def in_season(daily: DataFrame) -> DataFrame:
     return daily.withColumn("season_year", season_year("data")).where("season_year is not null")
 
 
+SEASON_WORDS = 4  # 61 days each hold the at most 243 days of a season
+
+
+def _day_bits() -> list:
+    """One bit per day of the season, so that distinct days merge as plain numbers."""
+    first = F.make_date(F.col("season_year") - 1, F.lit(9), F.lit(1))
+    index = F.datediff("data", first)
+    bit = F.expr("shiftleft(1L, pmod(datediff(data, make_date(season_year - 1, 9, 1)), 61))")
+    return [
+        F.bit_or(F.when(F.floor(index / 61) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"_days{w}")
+        for w in range(SEASON_WORDS)
+    ]
+
+
 def _version_totals(daily: DataFrame) -> DataFrame:
-    """Mergeable totals per station, season and metadata version.
+    """Mergeable totals per station, season, metadata version and yearly archive.
 
-    All season features are sums, extremes or weighted means, so the daily rows are shuffled once
-    here and versions are joined afterwards on this small table.
+    All season features are sums, extremes or weighted means of fixed width, so the daily rows are
+    hashed once here, with partial sums before the shuffle, and versions are joined afterwards on
+    this small table.
     """
     month, rain = F.month("data"), F.col("rain_mm")
     product = lambda v, w: F.sum(F.col(v) * F.col(w))
     seen = F.col("rain_observations") > 0
-    return in_season(daily).groupBy("station_code", "season_year", *METADATA).agg(
+    return in_season(daily).groupBy(
+        "station_code", "season_year", *METADATA, "source_dataset_checksum"
+    ).agg(
         F.sum(rain).alias("rain_crop_cycle_mm"),
         F.sum(F.when(month == 4, rain)).alias("rain_30d_mm"),
         F.sum(F.when(month.isin(3, 4), rain)).alias("rain_60d_mm"),
@@ -96,9 +114,8 @@ def _version_totals(daily: DataFrame) -> DataFrame:
         F.sum("wind_observations").alias("_wind_w"),
         F.sum("temp_observations").alias("valid_temp_hours"),
         F.sum("rain_observations").alias("valid_rain_hours"),
-        F.collect_set("data").alias("_days"),  # at most 243 days a season
-        F.collect_set("source_dataset_checksum").alias("_checksums"),  # one per yearly archive
         F.max("data").alias("_last_day"),
+        *_day_bits(),
     )
 
 
@@ -111,6 +128,7 @@ def metadata_policy(versions: DataFrame, tolerance_km: float = METADATA_TOLERANC
     if not math.isfinite(tolerance_km) or tolerance_km < 0:
         raise ValueError("metadata tolerance must be finite and not negative")
     key = ["station_code", "season_year"]
+    versions = versions.groupBy(*key, *METADATA).agg(F.max("_last_day").alias("_last_day"))
     facts = versions.groupBy(*key).agg(
         F.count(F.lit(1)).alias("station_metadata_versions"),
         F.min("station_uf").eqNullSafe(F.max("station_uf")).alias("_same_uf"),
@@ -149,6 +167,7 @@ def station_seasons(daily: DataFrame, *, metadata_tolerance_km: float = METADATA
     )
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0)).alias(c)
     ratio = lambda v, w: F.try_divide(F.sum(v), F.sum(w))
+    days = reduce(lambda a, b: a + b, [F.bit_count(F.bit_or(f"_days{w}")) for w in range(SEASON_WORDS)])
     season = named.groupBy("station_code", *METADATA, "season_year").agg(
         *[zero(c) for c in FEATURES[:4]],
         *[F.sum(c).alias(c) for c in FEATURES[4:7]],
@@ -159,8 +178,8 @@ def station_seasons(daily: DataFrame, *, metadata_tolerance_km: float = METADATA
         ratio("_wind", "_wind_w").alias("mean_wind_m_s"),
         F.sum("valid_temp_hours").alias("valid_temp_hours"),
         F.sum("valid_rain_hours").alias("valid_rain_hours"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("_days")))).cast("long").alias("calendar_days_present"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_checksums")))).alias("source_checksums"),
+        days.cast("long").alias("calendar_days_present"),
+        F.array_sort(F.collect_set("source_dataset_checksum")).alias("source_checksums"),  # one per archive
         *[F.max(c).alias(c) for c in METADATA_AUDIT],
     )
     expected = season_hours("season_year")

@@ -344,12 +344,12 @@ from (select season_year, lat_tile, lon_tile, count(*) as municipalities, min(co
 
 
 def tile_members(spark, sf_dir):
-    return plain(climate.tile_members(climate.gap_tiles(climate.climate_gaps(_station(spark, sf_dir)))))
+    """Municipalities of every tile in long form, so that no tile is gathered in one row."""
+    return plain(climate.gap_tiles(climate.climate_gaps(_station(spark, sf_dir))))
 
 
 MEMBERS_SQL = with_views(f"""
-select {n('season_year')}, {n('lat_tile')}, {n('lon_tile')}, string_agg(codigo_ibge, ',' order by codigo_ibge) as municipalities
-from tiles group by 1, 2, 3""", tiles=TILES)
+select {n('season_year')}, {n('lat_tile')}, {n('lon_tile')}, codigo_ibge from tiles""", tiles=TILES)
 
 
 def _states(spark, sf_dir):

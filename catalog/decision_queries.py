@@ -277,20 +277,21 @@ def _cost_facts(kind: str, source: str, key: str) -> str:
       {"null" if observed else "'mediana dos valores mais recentes dos polos Conab na mesma UF'"} as cost_method,
       {"1.0" if observed else "case when count(*) > 1 then 0.65 else 0.55 end"} as cost_confidence,
       {_period_range} as cost_reference_period,
-      {joined(f'list_sort(list_distinct(list({_month})))', 'cost_reference_periods')},
-      {joined('list_sort(list_distinct(list(municipio_fonte)))', 'cost_source_locations')} from ({source}) group by 1"""
+      {joined(f'list_sort(list_distinct(list({_month})))', 'cost_reference_periods')}, count(*) as cost_source_rows from ({source}) group by 1"""
 
 
-COST_HERE = _cost_facts(
-    "observed", "select *, lpad(cast(codigo_ibge_fonte as varchar), 7, '0') as code from costs "
-    "qualify ano * 12 + mes = max(ano * 12 + mes) over (partition by codigo_ibge_fonte)", "code",
+_own_rows = (
+    "select *, lpad(cast(codigo_ibge_fonte as varchar), 7, '0') as code from costs "
+    "qualify ano * 12 + mes = max(ano * 12 + mes) over (partition by codigo_ibge_fonte)"
 )
-COST_STATE = _cost_facts(
-    "estimated", "select * from costs qualify row_number() over (partition by uf, codigo_ibge_fonte order by ano * 12 + mes desc, "
-    "sistema_produtivo desc, custo_variavel_brl_ha desc) = 1", "uf",
+_pole_rows = (
+    "select * from costs qualify row_number() over (partition by uf, codigo_ibge_fonte order by ano * 12 + mes desc, "
+    "sistema_produtivo desc, custo_variavel_brl_ha desc) = 1"
 )
+COST_HERE = _cost_facts("observed", _own_rows, "code")
+COST_STATE = _cost_facts("estimated", _pole_rows, "uf")
 _COST = ["cost_variable", "cost_operational", "cost_total", "cost_type", "cost_method", "cost_confidence",
-         "cost_reference_period", "cost_reference_periods", "cost_source_locations"]
+         "cost_reference_period", "cost_reference_periods", "cost_source_rows"]
 _either = lambda columns: ", ".join(f"case when x.place is not null then x.{c} else y.{c} end as {c}" for c in columns)
 COST = f"""
 select m.codigo_ibge, {_either(_COST)} from municipalities m left join cost_here x on x.place = m.codigo_ibge
@@ -302,6 +303,15 @@ COST_SQL = with_views(
 )
 
 
+def cost_sources(spark, sf_dir):
+    return plain(scenarios.cost_sources(view(spark, sf_dir, "costs")))
+
+
+COST_SOURCES_SQL = with_views(f"""
+select distinct 'municipality' as scope, code as place, municipio_fonte from ({_own_rows})
+union all select distinct 'state', uf, municipio_fonte from ({_pole_rows})""")
+
+
 def price_scenario(spark, sf_dir):
     return plain(scenarios.price_scenarios(view(spark, sf_dir, "prices"), view(spark, sf_dir, "municipalities")))
 
@@ -580,6 +590,7 @@ QUERIES = {
     "exact_quantiles": (state_year_quantiles, QUANTILE_SQL),
     "yield_scenarios": (yield_scenarios, YIELD_SQL),
     "cost_scenario": (cost_scenario, COST_SQL),
+    "cost_sources": (cost_sources, COST_SOURCES_SQL),
     "price_scenario": (price_scenario, PRICE_SQL),
     "climate_scenario": (climate_scenario, CLIMATE_SQL),
     "risk_distribution": (risk_distribution, RISK_SQL),

@@ -11,7 +11,9 @@ SALTS = 16
 def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join ``facts`` (unique per key) onto ``rows`` with every key spread over several tasks.
 
-    The salt also keeps Spark from reusing the join's partitioning for a later grouping on the
+    Rows that are copies of each other share a salt; with the salt in the join key Spark's skew
+    handling can still split them, as no later step relies on the join's partitioning. The salt also
+    keeps Spark from reusing the join's partitioning for a later grouping on the
     key, which would leave a hot key in one task.
     """
     spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -82,7 +82,8 @@ def tile_periods(tiles: DataFrame) -> DataFrame:
 
 
 def tile_members(tiles: DataFrame) -> DataFrame:
-    """Sorted municipality list per tile; a 2-degree tile bounds its length."""
+    """Sorted municipality list per tile, for requests. The real municipalities of a 2-degree tile
+    are few; where codes are not, use the long form of ``gap_tiles``."""
     return tiles.groupBy("season_year", "lat_tile", "lon_tile").agg(
         F.array_sort(F.collect_list("codigo_ibge")).alias("municipalities")
     )

@@ -76,15 +76,18 @@ def _place_facts(rows: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def cost_scenarios(costs: DataFrame, locations: DataFrame) -> DataFrame:
-    """Latest cost of the municipality, else the state median of the latest cost per pole."""
-    period = period_index("ano", "mes")
+def selected_costs(costs: DataFrame) -> DataFrame:
+    """Cost rows each place rests on: ``scope, place, ano, mes, municipio_fonte`` and components.
+
+    A municipality rests on all rows of its latest month; a state on the latest row of each of its
+    poles, by production system where months tie.
+    """
     keep = ["uf", "ano", "mes", "municipio_fonte", *COST_COMPONENTS]
-    rows = costs.select(code7("codigo_ibge_fonte").alias("code"), period.alias("_period"), *keep, *(
-        ["sistema_produtivo"] if "sistema_produtivo" in costs.columns else []
-    ))
-    # One row per pole and state: its newest one, by production system where months tie. Small
-    # next to the rows, and read by everything below, so it is materialised once.
+    rows = costs.select(
+        code7("codigo_ibge_fonte").alias("code"), period_index("ano", "mes").alias("_period"), *keep,
+        *[c for c in ("sistema_produtivo",) if c in costs.columns],
+    )
+    # Small next to the rows, and read twice, so the poles are materialised once.
     order = ["_period", *[c for c in ("sistema_produtivo",) if c in rows.columns]]
     latest = F.max(F.struct(*order, *keep[1:])).alias("_r")
     poles = cut_lineage(rows.groupBy("uf", "code").agg(latest))
@@ -95,16 +98,24 @@ def cost_scenarios(costs: DataFrame, locations: DataFrame) -> DataFrame:
     of_state = poles.select(
         F.lit("state").alias("scope"), F.col("uf").alias("place"), *[f"_r.{c}" for c in keep[1:]]
     )
-    chosen = cut_lineage(exact.unionByName(of_state))
+    return exact.unionByName(of_state)
+
+
+def cost_sources(costs: DataFrame) -> DataFrame:
+    """Names behind the cost of every place, in long form: ``scope, place, municipio_fonte``."""
+    return selected_costs(costs).select("scope", "place", "municipio_fonte").distinct()
+
+
+def cost_scenarios(costs: DataFrame, locations: DataFrame) -> DataFrame:
+    """Latest cost of the municipality, else the state median of the latest cost per pole."""
+    chosen = cut_lineage(selected_costs(costs))
     medians = exact_medians(chosen, ["scope", "place"], list(COST_COMPONENTS)).groupBy("scope", "place").agg(
         *[
             F.max(F.when(F.col("name") == c, F.col("median"))).alias(alias)
             for c, alias in COST_COMPONENTS.items()
         ]
     )
-    # A state's poles or one municipality's names: both bounded by geography.
-    places = F.array_sort(F.collect_set("municipio_fonte")).alias("cost_source_locations")
-    facts = medians.join(_place_facts(chosen, places), ["scope", "place"])
+    facts = medians.join(_place_facts(chosen), ["scope", "place"])
     observed = F.col("scope") == "municipality"
     facts = facts.withColumns(
         {
@@ -115,11 +126,12 @@ def cost_scenarios(costs: DataFrame, locations: DataFrame) -> DataFrame:
                 F.col("first_period") == F.col("last_period"), F.col("first_period")
             ).otherwise(F.concat_ws("/", "first_period", "last_period")),
             "cost_reference_periods": F.col("periods"),
+            "cost_source_rows": F.col("rows"),
         }
     )
     columns = [
         *COST_COMPONENTS.values(), "cost_type", "cost_method", "cost_confidence",
-        "cost_reference_period", "cost_reference_periods", "cost_source_locations",
+        "cost_reference_period", "cost_reference_periods", "cost_source_rows",
     ]
     return _two_level(facts, locations, columns)
 

@@ -83,9 +83,12 @@ class YieldModel:
         return out.withColumnRenamed("prediction", column)
 
 
-def fit_model(name: str, build: Callable[[int], Estimator], train: DataFrame, seed: int) -> YieldModel:
-    imputation = Imputation.fit(train)
-    return YieldModel(name, imputation, build(seed).fit(imputation.apply(train)))
+def fit_model(
+    name: str, build: Callable[[int], Estimator], train: DataFrame, seed: int, *,
+    imputation: Imputation | None = None,
+) -> YieldModel:
+    known = imputation or Imputation.fit(train)
+    return YieldModel(name, known, build(seed).fit(known.apply(train)))
 
 
 @dataclass(frozen=True)
@@ -122,9 +125,10 @@ def evaluate_candidates(
         train, test = marked.where(~test_flag), marked.where(test_flag)
         if train.isEmpty() or test.isEmpty():
             raise ValueError(f"the {split} split is empty")
-        scored = test
+        scored, medians = test, Imputation.fit(train)  # shared by the candidates of a split
         for name, build in makers.items():
-            scored = fit_model(name, build, train, cfg.random_seed).predict(scored, name)
+            model = fit_model(name, build, train, cfg.random_seed, imputation=medians)
+            scored = model.predict(scored, name)
         columns = {**{n: n for n in makers}, **BASELINES}
         measured.append(regression_metrics(scored, columns).withColumn("split", F.lit(split)))
         for name in makers:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,31 @@ def local_session(cores: int | str = 8, name: str = "cropgrid", **conf: str) ->
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary folder is used.
+    Only a local master may leave it unset, as tests do; it then gets a temporary folder of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="cropgrid-checkpoint-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so that later plans start from files that outlive executors."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cropgrid-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table of its own in the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropgrid.llm import bpe, chat, html_text, jaccard, quality, secrets_scan, substrings
+from cropgrid.llm import bpe, chat, html_text, jaccard, quality, secrets_scan, substrings, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_jaccard": (op1_jaccard, None),
     "op2_bpe": (op2_bpe, None),
     "op3_chat": (op3_chat, chat.SQL),
+    "op4_suffixes": (op4_suffixes, None),
     "op5_substrings": (op5_substrings, None),
     "op7_html": (op7_html, None),
     "op9_secrets": (op9_secrets, None),

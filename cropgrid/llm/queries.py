@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropgrid.llm import bpe, chat, html_text, jaccard, quality, secrets_scan, substrings, suffixes
+from cropgrid.llm import bpe, chat, decontaminate, html_text, jaccard, quality, secrets_scan, substrings, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.marked(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc.doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.start", "m.end", "m.edits")
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_chat": (op3_chat, chat.SQL),
     "op4_suffixes": (op4_suffixes, None),
     "op5_substrings": (op5_substrings, None),
+    "op6_decontaminate": (op6_decontaminate, None),
     "op7_html": (op7_html, None),
     "op9_secrets": (op9_secrets, None),
     "op10_quality": (op10_quality, None),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropgrid.llm import bpe, chat, decontaminate, html_text, jaccard, quality, secrets_scan, substrings, suffixes
+from cropgrid.llm import bpe, chat, decontaminate, html_text, jaccard, mixing, quality, secrets_scan, substrings, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scores(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     found = secrets_scan.scan(docs)
@@ -70,6 +74,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op5_substrings": (op5_substrings, None),
     "op6_decontaminate": (op6_decontaminate, None),
     "op7_html": (op7_html, None),
+    "op8_mixing": (op8_mixing, None),
     "op9_secrets": (op9_secrets, None),
     "op10_quality": (op10_quality, None),
 }

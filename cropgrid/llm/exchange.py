@@ -63,13 +63,13 @@ def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "indexed", "docs", "counts", "prints")), strict=True)
 
 
-def per_doc(doc: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
-    """One row for each document: doc_id and its marks as bytes."""
+def per_doc(doc: np.ndarray, marks: np.ndarray, head: bytes = b"") -> pa.RecordBatch:
+    """One row for each document: doc_id and its marks as bytes, after `head`."""
     order = np.argsort(doc, kind="stable")
     doc, marks = doc[order], marks[order]
     start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[start]), pa.array([np.ascontiguousarray(marks[a:b]).tobytes() for a, b in zip(start, np.r_[start, len(doc)][1:], strict=True)], pa.binary())],
+        [pa.array(doc[start]), pa.array([head + np.ascontiguousarray(marks[a:b]).tobytes() for a, b in zip(start, np.r_[start, len(doc)][1:], strict=True)], pa.binary())],
         ["doc_id", "marks"])
 
 

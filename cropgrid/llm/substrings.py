@@ -74,8 +74,7 @@ def anchors(docs: DataFrame, bits: int) -> DataFrame:
                 np.r_[bucket[probe], bucket[index]], np.r_[doc[probe], doc[index]], np.r_[prints[probe], prints[index]],
                 np.r_[np.zeros(int(probe.sum()), bool), np.ones(len(index), bool)]))
             if known.any():
-                told = (bucket[known].astype(np.uint64) << np.uint64(32)) | prints[known].astype(np.uint64)
-                yield ex.batch_of(ex.packed(-1 - bucket[known], doc[known], told, np.zeros(len(told), bool)))
+                yield ex.batch_of(ex.packed(-1 - bucket[known], doc[known], prints[known], np.zeros(int(known.sum()), bool)))
 
     return docs.mapInArrow(each, ex.SCHEMA)
 
@@ -108,16 +107,16 @@ class Index:
 
 
 def hits(rows: DataFrame) -> DataFrame:
-    """doc_id and marks: (bucket, hash) of the runs of BLOCK words that an index block matches, on both sides."""
+    """doc_id and marks: the bucket, then the hashes in it of the runs of BLOCK words that an index block matches, on both sides."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, index = None, [], None
 
         def mark(bucket: int, doc: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-            return ex.per_doc(doc, (np.uint64(bucket) << np.uint64(32)) | prints.astype(np.uint64))
+            return ex.per_doc(doc, prints, np.array([bucket], np.uint32).tobytes())
 
         for bucket, indexed, docs, counts, prints in ex.streamed(batches):
             if bucket < 0:
-                yield ex.per_doc(*ex.unpacked(docs, counts, prints, np.uint64))
+                yield mark(-1 - bucket, *ex.unpacked(docs, counts, prints, np.uint32))
                 continue
             if at != bucket:
                 if index is not None:
@@ -146,7 +145,9 @@ def windows(texts: DataFrame, bits: int) -> DataFrame:
             told = (bucket.astype(np.uint64) << np.uint64(32)) | prints.astype(np.uint64)
             near = np.zeros(len(hashes), bool)
             edge = np.searchsorted(text[at], np.arange(len(offsets)))
-            for i, marks in enumerate(ex.joined_marks(rows.column("marks"), np.uint64)):
+            for i, marks in enumerate(rows.column("marks").to_pylist()):
+                parts = [np.frombuffer(m, np.uint32).astype(np.uint64) for m in marks or ()]
+                marks = np.concatenate([(m[0] << np.uint64(32)) | m[1:] for m in parts]) if parts else np.zeros(0, np.uint64)
                 own = slice(edge[i], edge[i + 1])
                 near[at[own][np.isin(told[own], marks)]] = True
             full, start = tb.grams(hashes, text, WINDOW)
@@ -197,7 +198,7 @@ def cut(texts: DataFrame, final: bool) -> DataFrame:
         for rows, data, offsets in tb.slices(batches, "text", SLICE):
             starts, ends, text, hashes = worded(data, offsets)
             gone = np.zeros(len(starts), bool)
-            marks = ex.joined_marks(rows.column("marks"), np.uint64)
+            marks = ex.joined_marks(rows.column("marks"), np.uint64 if final else np.uint32)
             if final:
                 full, at = tb.grams(hashes, text, WINDOW)
                 edge = np.searchsorted(text[at], np.arange(len(offsets)))

@@ -209,14 +209,19 @@ def nearest_on_axis(points: DataFrame, value: str, axis: DataFrame, axis_value:
         ((F.lead("_line").over(whole) + F.col("_line")) / 2).alias("_to"),
     )
     bucket = lambda c: F.floor(c)
-    first = F.coalesce(bucket(F.col("_from")), F.lit(-721).cast("long"))
-    last = F.coalesce(bucket(F.col("_to")), F.lit(721).cast("long"))
+    first = F.coalesce(bucket(F.col("_from")), bucket(F.col("_line")))
+    last = F.coalesce(bucket(F.col("_to")), bucket(F.col("_line")))
     intervals = lines.withColumn("_bucket", F.explode(F.sequence(first, last)))
     wanted = points.select(F.col(value).cast("double").alias("_value")).where(
         "_value is not null"
     ).distinct()
-    hit = wanted.withColumn("_bucket", bucket(F.col("_value"))).join(intervals, "_bucket").where(
-        (F.col("_from").isNull() | (F.col("_value") >= F.col("_from")))
-        & (F.col("_to").isNull() | (F.col("_value") < F.col("_to")))
+    # A value beyond the axis has the nearest line of the axis' end; the ends are one row.
+    ends = lines.agg(F.min("_line").alias("_low"), F.max("_line").alias("_high"))
+    inside = wanted.crossJoin(F.broadcast(ends)).withColumn(
+        "_inside", F.least(F.greatest("_value", "_low"), F.col("_high"))
+    )
+    hit = inside.withColumn("_bucket", bucket(F.col("_inside"))).join(intervals, "_bucket").where(
+        (F.col("_from").isNull() | (F.col("_inside") >= F.col("_from")))
+        & (F.col("_to").isNull() | (F.col("_inside") < F.col("_to")))
     )
     return hit.select(F.col("_value").alias(value), F.col("_line").alias(axis_value))

@@ -50,14 +50,18 @@ def _unit_problem() -> Column:
 
 def survey_records(raw: DataFrame, aliases: DataFrame) -> DataFrame:
     """Typed survey rows with ``problem``: NULL, or why the row cannot be used."""
-    body = raw.where(~((F.col("V") == "Valor") & ~F.col("D2C").rlike(r"^\d+$")))
+    header = (F.col("V") == "Valor") & ~F.col("D2C").rlike(r"^\d+$")
+    body = raw.where(~F.coalesce(header, F.lit(False)))
     named = resolve_crops(body, aliases, label="D4N", source="ibge")
     typed = named.withColumns({"number": survey_number("V"), "label": split_label("D1N")})
+    # A missing field is named like any other bad value: a NULL text would read as "usable".
+    named_value = lambda why, c: F.concat(F.lit(why), F.coalesce(F.col(c), F.lit("NULL")))
+    holds = lambda test: F.coalesce(test, F.lit(False))
     problem = (
-        F.when(~F.col("D2C").isin(*VARIABLES), F.concat(F.lit("unexpected variable "), "D2C"))
-        .when(F.col("cultura").isNull(), F.concat(F.lit("unknown crop label "), "D4N"))
-        .when(~F.col("number.known"), F.concat(F.lit("unknown numeric token "), "V"))
-        .when(F.col("label.uf").isNull(), F.concat(F.lit("unexpected municipality label "), "D1N"))
+        F.when(~holds(F.col("D2C").isin(*VARIABLES)), named_value("unexpected variable ", "D2C"))
+        .when(F.col("cultura").isNull(), named_value("unknown crop label ", "D4N"))
+        .when(~holds(F.col("number.known")) | F.col("V").isNull(), named_value("unknown numeric token ", "V"))
+        .when(F.col("label.uf").isNull(), named_value("unexpected municipality label ", "D1N"))
         .otherwise(_unit_problem())
     )
     return typed.withColumn("problem", problem)

@@ -90,12 +90,21 @@ def map_to_grid(locations: DataFrame, grid: DataFrame, *, max_grid_distance_km:
     """Nearest grid line per latitude and per longitude; fails beyond the distance limit."""
     lines = grid.select("grid_lat", "grid_lon")
     lats, lons = lines.select("grid_lat").distinct(), lines.select("grid_lon").distinct()
-    positive = grid.agg(F.min("grid_lon")).first()[0] >= 0
+    low, high = grid.agg(F.min("grid_lon"), F.max("grid_lon")).first()
+    positive = low is not None and low >= 0
     lon = F.col("longitude_centroid")
+    # The circle closes: each end of the axis also stands a full turn away, and maps back to itself.
+    turned = [F.col("_west") + 360.0, F.col("_east") - 360.0]
+    seam = lines.agg(F.min("grid_lon").alias("_west"), F.max("grid_lon").alias("_east"))
+    lons = lons.unionAll(seam.select(F.explode(F.array(*turned)).alias("grid_lon")))
     wanted = locations.select(*LOCATION).withColumn("_lon", F.pmod(lon, F.lit(360.0)) if positive else lon)
     wanted = wanted.where("latitude_centroid is not null and longitude_centroid is not null")
     by_lat = nearest_on_axis(wanted, "latitude_centroid", lats, "grid_lat")
-    by_lon = nearest_on_axis(wanted, "_lon", lons, "grid_lon")
+    by_lon = nearest_on_axis(wanted, "_lon", lons, "grid_lon").withColumn(
+        "grid_lon",
+        F.when(F.col("grid_lon") > F.lit(high), F.lit(low)).when(F.col("grid_lon") < F.lit(low), F.lit(high))
+        .otherwise(F.col("grid_lon")),
+    )
     placed = wanted.join(by_lat, "latitude_centroid").join(by_lon, "_lon").drop("_lon")
     placed = placed.withColumns(
         {"grid_latitude": F.col("grid_lat"), "grid_longitude": wrap_longitude("grid_lon")}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,22 @@ def local_session(cores: int | str = 8, name: str = "cropgrid", **conf: str) ->
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for a session, so that functions in tasks can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_cropgrid_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="cropgrid-package-"), "cropgrid.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(home):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.relpath(path, os.path.dirname(home)))
+    context.addPyFile(target)  # the driver serves it; executors keep a copy of their own
+    context._cropgrid_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 

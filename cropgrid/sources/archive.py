@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,17 +35,26 @@ PREAMBLE_LINES = 10
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(content))
+            except zipfile.BadZipFile:  # the whole file: one unusable member without a name
+                yield pd.DataFrame({"archive": [path], "member": [""], "text": [""]})
+                continue
+            with archive:
                 for name in sorted(archive.namelist()):
                     if name.lower().endswith(".csv"):
-                        text = archive.read(name).decode("latin1")
+                        try:
+                            text = archive.read(name).decode("latin1")
+                        except (zipfile.BadZipFile, zlib.error, EOFError):
+                            text = ""  # damaged: kept as a member, listed as skipped
                         yield pd.DataFrame({"archive": [path], "member": [name], "text": [text]})
 
 
 def archive_members(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``archive, member, text`` for every text file of the ZIP archives."""
+    """``archive, member, text`` for every text file of the ZIP archives, spread again by member."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_unzip, "archive string, member string, text string")
+    members = files.mapInPandas(_unzip, "archive string, member string, text string")
+    return members.repartition("archive", "member")
 
 
 def _preamble(lines: Column, key: str) -> Column:

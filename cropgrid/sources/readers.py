@@ -64,8 +64,8 @@ def delimited(
 
 
 def zoning_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Zoning table in UTF-8; its first column may carry a byte-order mark."""
-    raw = spark.read.option("sep", ";").option("header", True).csv(path)
+    """Zoning table in UTF-8; its first column may carry a byte-order mark. Rows of another width fail the read."""
+    raw = spark.read.option("sep", ";").option("header", True).option("mode", "FAILFAST").csv(path)
     named = raw.toDF("Nome_cultura", *raw.columns[1:])
     return named.select(*[null_tokens(F.col(c), ("",)).alias(c) for c in named.columns])
 
@@ -76,7 +76,7 @@ def municipalities_json(spark: SparkSession, path: str | list[str]) -> DataFrame
     schema = (
         f"id long, nome string, `regiao-imediata` struct<`regiao-intermediaria`: struct<{unit}>>"
     )
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     state = "`regiao-imediata`.`regiao-intermediaria`.UF"
     return rows.select(
         F.col("id").cast("string").alias("codigo_ibge"), F.trim("nome").alias("municipio"),

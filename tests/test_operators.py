@@ -124,10 +124,12 @@ def test_budget(spark):
 
 
 def test_metrics(spark):
-    df = spark.createDataFrame([(100.0, 110.0), (200.0, 180.0), (None, 1.0), (5.0, float("nan"))], "produtividade_kg_ha double, p double")
+    pairs = [(40.0, 52.0), (90.0, 81.0), (161.0, 151.0), (None, 7.0), (3.0, float("inf"))]
+    df = spark.createDataFrame(pairs, "produtividade_kg_ha double, p double")
     row = one(metrics.regression_metrics(df, {"m": "p"}))
-    assert row["rows"] == 2 and row["mae"] == 15 and row["rmse"] == pytest.approx(250**0.5)
-    assert row["r2"] == pytest.approx(1 - 500 / 5000)
+    # errors 12, 9, 10; the observed mean is 97, their squared deviations 3249 + 49 + 4096
+    assert row["rows"] == 3 and row["mae"] == pytest.approx(31 / 3) and row["rmse"] == pytest.approx((325 / 3) ** 0.5)
+    assert row["r2"] == pytest.approx(1 - 325 / 7394)
     single = one(metrics.regression_metrics(df.limit(1), {"m": "p"}))
     assert np.isnan(single["r2"])
 

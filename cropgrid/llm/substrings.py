@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from cropgrid.llm import exchange as ex
 from cropgrid.llm import textbytes as tb
-from cropgrid.session import kept_table
 
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
@@ -192,18 +191,20 @@ def repeats(rows: DataFrame) -> DataFrame:
     return ex.ordered(rows).mapInArrow(each, "doc_id long, marks binary")
 
 
-def cut(texts: DataFrame, final: bool) -> DataFrame:
-    """doc_id, n_words, n_removed, n_spans and kept_sha256. Before the end (`final` false) only rows without marks get them; others keep text and marks."""
+def cut(texts: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, n_spans and kept_sha256 of every row, given the hashes of its repeated windows."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in tb.slices(batches, "text", SLICE):
-            starts, ends, text, hashes = worded(data, offsets)
-            gone = np.zeros(len(starts), bool)
-            marks = ex.joined_marks(rows.column("marks"), np.uint64 if final else np.uint32)
-            if final:
+            marks = ex.joined_marks(rows.column("marks"), np.uint64)
+            if any(len(m) for m in marks):
+                starts, ends, text, hashes = worded(data, offsets)
                 full, at = tb.grams(hashes, text, WINDOW)
                 edge = np.searchsorted(text[at], np.arange(len(offsets)))
                 hit = [at[edge[i]:edge[i + 1]][np.isin(full[edge[i]:edge[i + 1]], m)] for i, m in enumerate(marks) if len(m)]
-                gone = tb.covered(np.concatenate(hit), WINDOW, len(starts)) if hit else gone
+                gone = tb.covered(np.concatenate(hit), WINDOW, len(starts))
+            else:
+                starts, ends, text = tb.words(data, offsets)
+                gone = np.zeros(len(starts), bool)
             edge, raw = np.searchsorted(text, np.arange(len(offsets))), data.tobytes()
             begins = gone & ~(np.r_[False, gone[:-1]] & np.r_[False, text[1:] == text[:-1]]) if len(gone) else gone
             out = {c: [] for c in ("n_words", "n_removed", "n_spans", "kept_sha256")}
@@ -213,28 +214,21 @@ def cut(texts: DataFrame, final: bool) -> DataFrame:
                 out["n_words"].append(int(edge[i + 1] - edge[i]))
                 out["n_removed"].append(int(gone[own].sum()))
                 out["n_spans"].append(int(begins[own].sum()))
-                out["kept_sha256"].append(None if not final and len(marks[i]) else hashlib.sha256(
+                out["kept_sha256"].append(hashlib.sha256(
                     b" ".join([raw[a:b] for a, b in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)])).hexdigest())
-            made = [rows.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()),
-                    pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "n_spans", "kept_sha256"]
-            if not final:
-                left = [raw[a:b].decode() if h is None else None for a, b, h in zip(offsets[:-1], offsets[1:], out["kept_sha256"], strict=True)]
-                made += [pa.array(left, pa.string()), rows.column("marks")]
-                names += ["text", "marks"]
-            yield pa.RecordBatch.from_arrays(made, names)
+            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), **out})
 
-    kinds = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string"
-    return texts.mapInArrow(each, kinds + ", text string, marks array<binary>" * (not final))
+    return texts.mapInArrow(each, "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, n_spans (maximal removed runs) and kept_sha256 of every row."""
+    """doc_id, n_words, n_removed, n_spans (maximal removed runs) and kept_sha256 of every row.
+
+    The texts are shuffled once: both joins read one exchange, as `known` is the same plan with the same partitioning in both.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known, lone = own.where("doc_id is not null"), own.where("doc_id is null")
     bits = ex.bucket_count(own).bit_length() - 1
-    found = ex.gathered(hits(anchors(own.where("doc_id is not null"), bits)))
-    first = kept_table(cut(own.join(found, "doc_id", "left"), final=False), "passages")
-    opened = first.where("text is not null")
-    again = ex.gathered(repeats(windows(opened.select("doc_id", "text", "marks"), bits)))
-    closed = cut(opened.select("doc_id", "text").join(again, "doc_id", "left"), final=True)
-    return first.where("text is null").select(*closed.columns).unionAll(closed)
+    found = ex.gathered(hits(anchors(known, bits)))
+    again = ex.gathered(repeats(windows(known.join(found, "doc_id"), bits)))
+    return cut(known.join(again, "doc_id", "left")).unionAll(cut(lone.withColumn("marks", F.lit(None).cast("array<binary>"))))

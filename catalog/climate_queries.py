@@ -371,7 +371,7 @@ select codigo_ibge, season_year, case when {_k} % 11 = 0 then 'error' when {_k}
 
 def backfill_selection(spark, sf_dir):
     gaps = climate.climate_gaps(_station(spark, sf_dir))
-    training = view(spark, sf_dir, "harvests").where("produtividade_kg_ha > 0 and ano >= 2000")
+    training = view(spark, sf_dir, "harvests").where("produtividade_kg_ha > 0")
     out = climate.select_backfill(gaps, merged(spark, sf_dir), _states(spark, sf_dir), budget=200, training=training)
     return plain(out.select("codigo_ibge", "season_year", "training_priority"))
 
@@ -380,7 +380,7 @@ SELECTION_SQL = with_views(f"""
 with pending as (
   select s.codigo_ibge, s.season_year, t.codigo_ibge is not null as training_priority,
     exists (select 1 from states x where x.codigo_ibge = s.codigo_ibge and x.season_year = s.season_year and artifact is not null) as cached
-  from station_climate s left join (select distinct codigo_ibge, ano - 1 as season_year from harvests where produtividade_kg_ha > 0 and ano >= 2000) t
+  from station_climate s left join (select distinct codigo_ibge, ano - 1 as season_year from harvests where produtividade_kg_ha > 0) t
     on s.codigo_ibge = t.codigo_ibge and s.season_year = t.season_year
   where not {adequate('s.')} and not exists (select 1 from merged m where m.codigo_ibge = s.codigo_ibge and m.season_year = s.season_year and {adequate('m.')}))
 select codigo_ibge, {n('season_year')}, training_priority from pending where cached union all

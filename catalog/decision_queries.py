@@ -364,12 +364,12 @@ CLIMATE_SQL = with_views(
     merged=MERGED, climate_now=CLIMATE_NOW,
 )
 
-DRAWS = 1000
+DRAWS = RiskSettings().simulations
 SETTINGS = Settings(risk=RiskSettings(simulations=DRAWS, seed=SEED))
 
 
 def risk_distribution(spark, sf_dir):
-    """Profit distribution per municipality from 1,000 shared draws."""
+    """Profit distribution per municipality from shared draws, as many as configured."""
     base = scenarios.yield_scenarios(view(spark, sf_dir, "harvests"))
     places = view(spark, sf_dir, "municipalities")
     rows = base.join(scenarios.cost_scenarios(view(spark, sf_dir, "costs"), places).select("codigo_ibge", "cost_total"), "codigo_ibge").join(

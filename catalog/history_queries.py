@@ -175,7 +175,7 @@ select o_orderkey, {r('max(price)', 'price')}, max(state) as state,
 def anti_semi_full(spark, sf_dir):
     """Customers with and without orders, and both key sets joined in full."""
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), "c_acctbal")
-    o = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").groupBy(
+    o = read(spark, sf_dir, "orders").groupBy(
         (F.col("o_custkey") + 40).alias("code")
     ).agg(F.count(F.lit(1)).alias("orders"))
     tagged = c.join(o, "code", "left_semi").select("code", F.lit("semi").alias("kind")).unionByName(
@@ -186,7 +186,7 @@ def anti_semi_full(spark, sf_dir):
 
 
 ANTI_SQL = f"""
-with o as (select o_custkey + 40 as code, count(*) as orders from orders where o_orderpriority = '1-URGENT' group by 1),
+with o as (select o_custkey + 40 as code, count(*) as orders from orders group by 1),
 c as (select c_custkey as code, c_acctbal from customer)
 select code, {r('c_acctbal')}, {n('orders')},
   case when c.c_acctbal is not null and o.orders is not null then 'semi' when c.c_acctbal is not null then 'anti' end as kind
@@ -206,8 +206,8 @@ union all select o_orderkey, o_custkey, 'Z', 'right_only' from orders where o_or
 
 
 def budgeted_take(spark, sf_dir):
-    """Large orders in priority order: cached ones always, new ones within the budget."""
-    o = read(spark, sf_dir, "orders").where("o_totalprice > 400000").select(
+    """Orders in priority order: cached ones always, new ones within the budget."""
+    o = read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderpriority", (F.col("o_orderkey") % 5 == 0).alias("cached")
     )
     order = [F.asc("o_orderpriority"), F.desc("o_custkey"), F.asc("o_orderkey")]
@@ -215,7 +215,7 @@ def budgeted_take(spark, sf_dir):
 
 
 BUDGET_SQL = """
-with p as (select o_orderkey, o_custkey, o_orderpriority, o_orderkey % 5 = 0 as cached from orders where o_totalprice > 400000)
+with p as (select o_orderkey, o_custkey, o_orderpriority, o_orderkey % 5 = 0 as cached from orders)
 select * from p where cached union all (select * from p where not cached order by o_orderpriority, o_custkey desc, o_orderkey limit 100)"""
 
 

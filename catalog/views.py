@@ -1,7 +1,8 @@
 """Domain views over the given tables, written in SQL that Spark and DuckDB both run.
 
 Every view derives from whole tables; keys give positions, orders give costs, prices, harvests and
-planting windows, and line items give daily weather.
+planting windows, and line items give daily weather. Where a view must leave places uncovered, its rows
+stay and carry the code of a place or state that no municipality has.
 """
 
 from __future__ import annotations
@@ -143,33 +144,34 @@ VIEWS["zoning_wide"] = f"""
 select case when o_orderstatus = 'P' then 'Milho' else ' Soja ' end as Nome_cultura,
   2026 as SafraIni, 2027 as SafraFin, 60 as Cod_Cultura,
   cast(substr(o_orderpriority, 1, 1) as int) * 10 as Cod_Ciclo, o_custkey % 3 + 11 as Cod_Solo,
-  o_custkey as geocodigo, lpad(cast(c_nationkey as string), 2, '0') as UF, 1 as Cod_Outros_Manejos,
+  case when c_nationkey < 20 and c_mktsegment <> 'HOUSEHOLD' then o_custkey else o_custkey + 5000000 end as geocodigo,
+  lpad(cast(case when c_nationkey < 20 then c_nationkey else c_nationkey + 40 end as string), 2, '0') as UF, 1 as Cod_Outros_Manejos,
   ' Sequeiro ' as Nome_Outros_Manejos, concat('Port. ', cast(c_nationkey as string)) as Portaria,
   {", ".join(f"max(case when {_DECENDIO} = {i} then {_RISK} else 0 end) as dec{i}" for i in range(1, 37))}
 from orders join customer on o_custkey = c_custkey
-where c_nationkey < 20 and c_mktsegment <> 'HOUSEHOLD'
-group by o_orderstatus, o_orderpriority, o_custkey, c_nationkey
+group by o_orderstatus, o_orderpriority, o_custkey, c_nationkey, c_mktsegment
 """
 
 VIEWS["costs"] = """
-select c_custkey as codigo_ibge_fonte, lpad(cast(c_nationkey as string), 2, '0') as uf,
+select case when c_mktsegment = 'BUILDING' then c_custkey else c_custkey + 5000000 end as codigo_ibge_fonte,
+  lpad(cast(case when c_nationkey = 7 then 67 else c_nationkey end as string), 2, '0') as uf,
   cast(year(o_orderdate) as int) as ano, cast(month(o_orderdate) as int) as mes,
   c_name as municipio_fonte, o_orderpriority as sistema_produtivo,
   o_totalprice * 1.0371913e-2 as custo_variavel_brl_ha, o_totalprice * 1.2371917e-2 as custo_operacional_brl_ha,
   o_totalprice * 1.2871923e-2 as custo_total_brl_ha
-from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING' and c_nationkey <> 7
+from orders join customer on o_custkey = c_custkey
 """
 
 VIEWS["prices"] = """
-select case when k = 0 then 'state' else 'municipality' end as coverage_level,
-  case when k = 1 then c_custkey end as codigo_ibge_fonte, lpad(cast(c_nationkey as string), 2, '0') as uf,
+select coverage_level, case when coverage_level = 'state' then cast(null as bigint)
+    when c_mktsegment = 'MACHINERY' then c_custkey else c_custkey + 5000000 end as codigo_ibge_fonte,
+  lpad(cast(case when c_nationkey = 11 then 71 else c_nationkey end as string), 2, '0') as uf,
   cast(year(o_orderdate) as int) as ano, cast(month(o_orderdate) as int) as mes,
   case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'PRECO RECEBIDO P/ PRODUTOR' else 'ATACADO' end
     as nivel_comercializacao,
   o_totalprice / 1.0371913e5 as preco_brl_kg
-from orders join customer on o_custkey = c_custkey
-join (select 0 as k union all select 1 as k) levels on k = 0 or c_mktsegment = 'MACHINERY'
-where c_nationkey <> 11
+from (select 'state' as coverage_level, orders.* from orders union all select 'municipality', orders.* from orders) o
+join customer on o_custkey = c_custkey
 """
 
 # Municipality seasons from stations, some beyond the radius, some with unusable values.

@@ -3,7 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one buffer, and ranking with a window
 sorts a group in one task. Both are fine for a municipality's ten harvests, not for a state or a
 whole table. Here each group first gets a small mergeable sketch; only the values between two
-sketch points around the wanted rank are then ranked, while the rest are counted.
+sketch points around the wanted rank are then ranked, while the rest are counted. A rank outside its
+bracket is an error, never a neighbour's value.
 """
 
 from __future__ import annotations
@@ -110,9 +111,13 @@ def exact_quantiles(
     for i, (name, p) in enumerate(quantiles.items()):
         at = position(p)(F.col("_n"))
         real = F.col("_folded") == 0
-        picks.append(F.min(F.when(real & (F.col("_upto") > F.floor(at)), F.col("_key"))).alias(f"_l{i}"))
-        picks.append(F.min(F.when(real & (F.col("_upto") > F.ceil(at)), F.col("_key"))).alias(f"_h{i}"))
-        low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
+        ends = []
+        for end, rank in (("_l", F.floor(at)), ("_h", F.ceil(at))):
+            name_ = f"{end}{i}"
+            picks.append(F.min(F.when(real & (F.col("_upto") > rank), F.struct("_key", (F.col("_upto") - F.col("_c")).alias("before")))).alias(name_))
+            missed = F.coalesce(F.col(f"{name_}.before") > rank, F.lit(True))
+            ends.append(F.when(missed, F.raise_error(F.lit(f"{value}: the rank of {name} lies outside its bracket")).cast("double")).otherwise(F.col(f"{name_}._key")))
+        low, high = ends
         outputs.append((low + (high - low) * (at - F.floor(at))).alias(name))
     if count_as:
         outputs.append(F.col("_n").alias(count_as))

@@ -473,14 +473,13 @@ def analyses(recommended: DataFrame, *, settings: Settings | None = None, versio
         F.concat_ws("|", F.lit(cfg.config_version), "codigo_ibge", "profile", F.to_json(body)), 256
     )
     part = lambda i, n: F.substring(digest, i, n)
-    sources = F.array_distinct(
-        F.array_compact(
-            F.array(
-                F.when(F.col("yield_type") == "predicted", PREDICTED_SOURCE).otherwise(YIELD_SOURCE),
-                F.lit(COST_SOURCE), F.lit(PRICE_SOURCE), "zoning_source", "climate_source",
-            )
-        )
+    used = F.array(
+        F.when(F.col("yield_type") == "predicted", PREDICTED_SOURCE).otherwise(YIELD_SOURCE),
+        F.lit(COST_SOURCE), F.lit(PRICE_SOURCE), "zoning_source", "climate_source",
     )
+    # a place that was not recommended rests on its zoning alone
+    chosen = F.when(F.col("status") == "recommended", used).otherwise(F.array("zoning_source"))
+    sources = F.array_distinct(F.array_compact(chosen))
     audit = F.struct(
         F.lit(RANKING_VERSION).alias("ranking_config_version"),
         F.lit(cfg.pipeline_version).alias("pipeline_version"),

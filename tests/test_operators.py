@@ -161,3 +161,14 @@ def test_intervals(spark):
     row = one(metrics.evaluate_intervals(df, "p", calibration_year=2020, coverage=0.8))
     assert row["radius"] == 9.0 and row["calibration_rows"] == 10 and row["empirical_coverage"] == 0.5
     assert row["mean_interval_width"] == pytest.approx((18 + 11) / 2)
+
+
+def test_a_missed_bracket_is_an_error(spark, monkeypatch):
+    from cropgrid.operators import quantiles
+
+    df = spark.range(2000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("v"))
+    found = quantiles.exact_quantiles(df, ["k"], "v", {"p50": 0.5}, hot_group_rows=0)
+    assert one(found)["p50"] == 999.5
+    monkeypatch.setattr(quantiles, "BRACKET", -0.2)  # an empty bracket
+    with pytest.raises(Exception, match="outside its bracket"):
+        quantiles.exact_quantiles(df, ["k"], "v", {"p50": 0.5}, hot_group_rows=0).collect()

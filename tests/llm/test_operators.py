@@ -140,6 +140,20 @@ def test_substrings(docs):
     assert substrings.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_substrings_shuffle_texts_once(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"{PASSAGE} {prose(50 + i, 30)}") for i in range(40)], "doc_id long, text string").write.parquet(path)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to broadcast
+    try:
+        found = substrings.deduplicated(spark.read.parquet(path))
+        assert len(found.collect()) == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange [doc_id" in plan and plan.count("Exchange hashpartitioning(doc_id") <= 4
+
+
 def test_bpe(docs):
     from tokenizers import Tokenizer
     lib = Tokenizer.from_file(bpe.vocabulary_path())

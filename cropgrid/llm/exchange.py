@@ -59,8 +59,12 @@ def ordered(rows: DataFrame) -> DataFrame:
 
 
 def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of SCHEMA one by one, their bytes as views of the batch."""
     for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "indexed", "docs", "counts", "prints")), strict=True)
+        bucket, indexed = (batch.column(c).to_pylist() for c in ("bucket", "indexed"))
+        columns = [batch.column(c) for c in ("docs", "counts", "prints")]
+        for i in range(batch.num_rows):
+            yield bucket[i], indexed[i], *(c[i].as_buffer() for c in columns)
 
 
 def per_doc(doc: np.ndarray, marks: np.ndarray, head: bytes = b"") -> pa.RecordBatch:

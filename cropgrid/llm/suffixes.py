@@ -34,9 +34,11 @@ from cropgrid.session import kept_table
 
 LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM + 1
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Bytes of stretches that are ranked at a time, and stretches of one anchor that are ranked together at most.
 RANKED, HOT = 2 << 20, 20_000
+#: Parts of a bucket's keys that are sorted one after the other.
+SHARES = 8
 WHOLE, OPEN, FIRST, SPREAD = 1, 2, 4, 8
 
 
@@ -51,15 +53,15 @@ class Anchors:
             self.at = self.low = self.high = self.text = np.zeros(0, np.int64)
             self.key = self.stretch = np.zeros(0, np.uint64)
             return
-        place = np.arange(grams)
-        rank = ((self.rolling.of(place, place + GRAM) >> np.uint64(33)) << np.uint64(32)) | place.astype(np.uint64)
         blocks = -(-grams // REACH)
         padded = np.full(blocks * REACH, np.iinfo(np.uint64).max, np.uint64)
-        padded[:grams] = rank
+        padded[:grams] = (self.rolling.each(GRAM) >> np.uint64(33)) << np.uint64(32)
+        padded[:grams] |= np.arange(grams, dtype=np.uint64)
         padded = padded.reshape(blocks, REACH)
         ahead = np.minimum.accumulate(padded, axis=1).reshape(-1)
         behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         owner = (np.minimum(behind[:windows], ahead[REACH - 1:REACH - 1 + windows]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        del padded, ahead, behind
         start = np.arange(windows)
         text = np.searchsorted(offsets, start, "right") - 1
         valid = start + LENGTH <= offsets[text + 1]
@@ -107,9 +109,18 @@ def met(rows: DataFrame) -> DataFrame:
         at, parts = None, []
 
         def told() -> pa.RecordBatch:
-            doc, entry = (np.concatenate(x) for x in zip(*parts, strict=True))
+            kept = [judged(share) for share in range(SHARES)]
+            parts.clear()
+            return ex.per_doc(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+
+        def judged(share: int) -> tuple[np.ndarray, np.ndarray]:
+            """Documents and marks of one share of the bucket's keys, so that only a share of it is sorted at a time."""
+            own = [entry["key"] % np.uint64(SHARES) == share for _, entry in parts]
+            doc, entry = (np.concatenate([x[mine] for x, mine in zip(xs, own, strict=True)]) for xs in zip(*parts, strict=True))
             order = np.lexsort((entry["place"], doc, entry["stretch"], entry["key"]))
             doc, entry = doc[order], entry[order]
+            if not len(doc):
+                return doc, np.zeros(0, MARK)
             new_key = np.r_[True, entry["key"][1:] != entry["key"][:-1]]
             lead = new_key | np.r_[True, entry["stretch"][1:] != entry["stretch"][:-1]]
             first = np.flatnonzero(lead)
@@ -117,11 +128,11 @@ def met(rows: DataFrame) -> DataFrame:
             kinds = np.diff(np.r_[np.flatnonzero(new_key[first]), len(first)])
             several, spread = np.repeat(kinds > 1, kinds), np.repeat(kinds > HOT, kinds)
             flags = WHOLE * (size > 1) | OPEN * several | SPREAD * (several & spread)
-            mark = np.zeros(len(doc), MARK)
-            mark["stretch"], mark["place"] = entry["stretch"], entry["place"]
-            mark["flags"] = np.repeat(flags, np.diff(np.r_[first, len(doc)])) & ~np.where(lead, 0, OPEN | SPREAD) | FIRST * lead
-            kept = (mark["flags"] & (WHOLE | OPEN)) > 0
-            return ex.per_doc(doc[kept], mark[kept])
+            flags = np.repeat(flags, np.diff(np.r_[first, len(doc)])) & ~np.where(lead, 0, OPEN | SPREAD) | FIRST * lead
+            kept = (flags & (WHOLE | OPEN)) > 0
+            mark = np.zeros(int(kept.sum()), MARK)
+            mark["stretch"], mark["place"], mark["flags"] = entry["stretch"][kept], entry["place"][kept], flags[kept]
+            return doc[kept], mark
 
         for bucket, _, docs, counts, prints in ex.streamed(batches):
             if bucket < 0:
@@ -130,7 +141,7 @@ def met(rows: DataFrame) -> DataFrame:
             if at != bucket:
                 if parts:
                     yield told()
-                at, parts = bucket, []
+                at = bucket
             parts.append(ex.unpacked(docs, counts, prints, ENTRY))
         if parts:
             yield told()
@@ -238,7 +249,7 @@ def counted(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for row, tag, place, stretch in zip(*(batch.column(c).to_pylist() for c in ("row_id", "tag", "place", "stretch")), strict=True):
                 start = np.arange(len(stretch) - LENGTH + 1)
-                window = tb.Rolling(np.frombuffer(stretch, np.uint8)).of(start, start + LENGTH)
+                window = tb.Rolling(np.frombuffer(stretch, np.uint8)).each(LENGTH)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(window.view(np.int64)), *(pa.array(np.full(len(start), x)) for x in (row, tag, place)),
                      pa.array(start.astype(np.int32))], ["window", "row_id", "tag", "place", "step"])

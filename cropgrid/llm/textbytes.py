@@ -73,6 +73,13 @@ class Rolling:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
+    def each(self, width: int) -> np.ndarray:
+        """Hashes of all ranges of `width`, without index arrays."""
+        found = self.sums[width:] - self.sums[:-width]
+        found *= self.down[:len(found)]
+        found += np.uint64(width)
+        return mix(found)
+
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text numbers of the maximal runs of True that stay within one text."""

@@ -270,7 +270,7 @@ def _grid(spark, sf_dir):
 
 
 def merged(spark, sf_dir):
-    return climate.merged_climate(_station(spark, sf_dir), _grid(spark, sf_dir), check=False)
+    return climate.merged_climate(_station(spark, sf_dir), _grid(spark, sf_dir))
 
 
 def source_fallback(spark, sf_dir):

@@ -11,7 +11,7 @@ from cropgrid.operators import merge, quality
 from cropgrid.operators.metrics import hash_share
 from cropgrid.plans import history, markets, panel as panel_plan, zoning
 from cropgrid.sources.dimensions import crop_aliases, resolve_crops
-from cropgrid.sources.readers import search_locations
+from cropgrid.sources.readers import pick_file, search_locations
 
 from .sqltext import joined, n, r, rs
 from .views import plain, read, view, with_views
@@ -151,6 +151,36 @@ select codigo_ibge, municipio, uf, cultura, sistema_produtivo, {n('ano')},
 """)
 
 
+def anti_union_upsert(spark, sf_dir):
+    """All orders with those of one customer in three replaced by repriced ones, and a new order for each customer."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("price"))
+    repriced = o.where("o_custkey % 3 = 0").withColumn("price", F.col("price") * 2).withColumn("note", F.lit("repriced"))
+    fresh = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"), F.max("price").alias("price")).select(
+        (-1 - F.col("o_custkey")).alias("o_orderkey"), "o_custkey", "price", F.lit("new").alias("note"))
+    return plain(merge.upsert(o, repriced.unionByName(fresh), ["o_orderkey"]))
+
+
+UPSERT_SQL = f"""
+select {n('o_orderkey')}, {n('o_custkey')}, round(case when o_custkey % 3 = 0 then price * 2 else price end, 4) as price,
+  case when o_custkey % 3 = 0 then 'repriced' end as note
+from (select o_orderkey, o_custkey, cast(o_totalprice as double) as price from orders)
+union all select cast(-1 - o_custkey as bigint), {n('o_custkey')}, round(max(cast(o_totalprice as double)), 4), 'new' from orders group by o_custkey"""
+
+
+def newest_file(spark, sf_dir):
+    """The first and the last file name of each folder, over a listing of all documents."""
+    folder = F.concat(F.lit("/land/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")))
+    listing = read(spark, sf_dir, "documents").select(F.concat(folder, F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".json")).alias("path"))
+    first = pick_file(listing, last=False).withColumnRenamed("path", "first_path")
+    return pick_file(listing).withColumnRenamed("path", "last_path").join(first, "directory")
+
+
+NEWEST_SQL = """
+select directory, min(path) as first_path, max(path) as last_path
+from (select directory, directory || '/' || lpad(cast(doc_id as varchar), 12, '0') || '.json' as path
+  from (select *, '/land/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') as directory from documents)) group by directory"""
+
+
 def conflict_merge(spark, sf_dir):
     """Two overlapping projections of orders, some of which disagree, coalesced per order."""
     o = read(spark, sf_dir, "orders")
@@ -521,6 +551,8 @@ QUERIES = {
     "trailing_median": (trailing_median, TRAILING_SQL),
     "panel_pivot_flags": (panel_pivot_flags, PIVOT_SQL),
     "keep_last_upsert": (keep_last_upsert, KEEP_LAST_SQL),
+    "anti_union_upsert": (anti_union_upsert, UPSERT_SQL),
+    "newest_file": (newest_file, NEWEST_SQL),
     "panel_upsert": (panel_upsert, PANEL_UPSERT_SQL),
     "conflict_merge": (conflict_merge, CONFLICT_SQL),
     "anti_semi_full": (anti_semi_full, ANTI_SQL),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite
-from .quality import fail_if_any
 
 CLIMATE_KEY = ["codigo_ibge", "season_year"]
 
@@ -69,33 +68,41 @@ def adequate_climate(minimum_coverage: float = 0.70) -> Column:
     )
 
 
-def fall_back_whole_rows(
-    primary: DataFrame, secondary: DataFrame, key: list[str], adequate: Column, *, check: bool = False
-) -> DataFrame:
+def fall_back_whole_rows(primary: DataFrame, secondary: DataFrame, key: list[str], adequate: Column) -> DataFrame:
     """Primary rows, with inadequate ones replaced whole by an adequate secondary row.
 
-    Columns are never mixed and the output has exactly the primary's keys: one left join on the
-    key carrying each side as a struct. ``check=True`` verifies key uniqueness first.
+    Columns are never mixed and the output has exactly the primary's keys. Both sides meet in one
+    aggregate by key, which also counts them: a key that either side has twice fails the job.
+    Null keys take no fallback.
     """
-    if check:
-        for side, name in ((primary, "primary"), (secondary, "secondary")):
-            duplicates = side.groupBy(*key).count().where("count > 1")
-            fail_if_any(duplicates, f"duplicate {name} keys")
     columns = list(primary.columns) + [c for c in secondary.columns if c not in primary.columns]
     types = {**dict(secondary.dtypes), **dict(primary.dtypes)}
 
-    def as_row(df: DataFrame) -> Column:
-        return F.struct(
+    def side(df: DataFrame, name: str) -> DataFrame:
+        row = F.struct(
             *[
                 (F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c)
                 for c in columns
             ]
         )
+        return df.select(*key, F.lit(name).alias("_side"), F.coalesce(adequate, F.lit(False)).alias("_ok"), row.alias("_row"))
 
-    left = primary.select(*key, as_row(primary).alias("_p"), adequate.alias("_ok"))
-    right = secondary.where(adequate).select(*key, as_row(secondary).alias("_s"))
-    chosen = F.when(F.col("_ok") | F.col("_s").isNull(), F.col("_p")).otherwise(F.col("_s"))
-    return left.join(right, key, "left").select(chosen.alias("_row")).select("_row.*")
+    def of(name: str, c: str) -> Column:
+        return F.any_value(F.when(F.col("_side") == name, F.col(c)), True)
+
+    both = side(primary, "primary").unionByName(side(secondary, "secondary"))
+    met = both.groupBy(*key).agg(
+        *[F.count_if(F.col("_side") == name).alias(f"_n_{name}") for name in ("primary", "secondary")],
+        of("primary", "_ok").alias("_p_ok"), of("secondary", "_ok").alias("_s_ok"),
+        of("primary", "_row").alias("_p"), of("secondary", "_row").alias("_s"),
+    )
+    fail = lambda name: F.raise_error(
+        F.concat(F.lit(f"duplicate {name} keys: "), F.concat_ws(",", *[F.col(c).cast("string") for c in key]))
+    ).cast("boolean")
+    unique = F.when(F.col("_n_primary") > 1, fail("primary")).when(F.col("_n_secondary") > 1, fail("secondary"))
+    keyed = ~F.greatest(*[F.col(c).isNull() for c in key], F.lit(False))
+    chosen = F.when(F.col("_p_ok") | ~F.coalesce("_s_ok", F.lit(False)) | ~keyed, F.col("_p")).otherwise(F.col("_s"))
+    return met.where(unique.otherwise(F.col("_n_primary") > 0)).select(chosen.alias("_row")).select("_row.*")
 
 
 def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -18,13 +18,9 @@ MONTH_VARIABLES = [
 CLOSING_VARIABLES = MONTH_VARIABLES[-2:]
 
 
-def merged_climate(
-    station: DataFrame, reanalysis: DataFrame, *, minimum_coverage: float = 0.70, check: bool = True
-) -> DataFrame:
+def merged_climate(station: DataFrame, reanalysis: DataFrame, *, minimum_coverage: float = 0.70) -> DataFrame:
     """Adequate station rows, else an adequate reanalysis row taken whole, else the gap itself."""
-    return fall_back_whole_rows(
-        station, reanalysis, CLIMATE_KEY, adequate_climate(minimum_coverage), check=check
-    )
+    return fall_back_whole_rows(station, reanalysis, CLIMATE_KEY, adequate_climate(minimum_coverage))
 
 
 def source_counts(climate: DataFrame) -> DataFrame:

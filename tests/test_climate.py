@@ -174,8 +174,10 @@ def test_whole_row_fallback(spark):
     b = seasons(spark, *[(str(i), 2024, 2000.0, 24.0, c, "B", None, -10.0, -50.0, None) for i, c in ((1, 1.0), (2, 1.0), (3, 0.5), (4, 1.0))])
     got = {r["codigo_ibge"]: (r["source"], r["rain_crop_cycle_mm"]) for r in rows(climate.merged_climate(a, b))}
     assert got == {"1": ("A", 1000.0), "2": ("B", 2000.0), "3": ("A", None)}
-    with pytest.raises(ValueError, match="duplicate primary"):
-        climate.merged_climate(a.union(a), b)
+    with pytest.raises(Exception, match="duplicate primary"):
+        climate.merged_climate(a.union(a), b).collect()
+    with pytest.raises(Exception, match="duplicate secondary"):
+        climate.merged_climate(a, b.union(b)).collect()
 
 
 @pytest.mark.parametrize("coverage", [math.nan, math.inf, 1.01, -0.01])

@@ -7,8 +7,10 @@ conjunctions that `verdict` turns into one ordered CASE expression.
 
 Defined cases: a null or empty text has no words and fails the base rule (fewer than ten words). Ties in
 the gain go to the statistic named first and to the lower bound. Repeated rows each get their own verdict.
-Without labels, or with labels of one kind only, the list is empty and the base rule decides alone. Labels
-without an id, or both of whose marks are null, are ignored; several labels of one id count as the worst.
+Texts of one `lang` (all of them, if there is no such column) have their own marks of toxicity, so that a smaller
+language is judged by its own toxic texts. A null `lang` counts as one language. For the fit, a row's marks are counted with
+those of the other half of the rows, so that a bound on them is judged as on unseen texts. Without labels, or with labels
+of one kind only, the list is empty and the base rule decides alone. Labels without an id, or both of whose marks are null, are ignored; several labels of one id count as the worst.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropgrid.llm import textbytes as tb
+from cropgrid.session import kept_table
 
 #: The fit uses this many labelled documents at most, those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
-#: A word is a mark of toxic texts if so large a share of them has it and so few others do.
-MARK_SHARE, MARK_PURITY, MARKS = 0.03, 0.98, 256
+#: A word is a mark if so large a share of one language's toxic texts has it, LEAST of them at least, and so few other texts of
+#: any language do. Each language gives MARKS marks at most.
+MARK_SHARE, MARK_LEAST, MARK_PURITY, MARKS = 0.1, 3, 0.98, 256
 CONDITIONS, RULES, PRECISION = 4, 32, 0.9
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -94,36 +98,40 @@ def statistics(docs: DataFrame, marks: list[int] | None = None, text: str = "tex
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """`rows` labelled texts at most, chosen by hash: doc_id, text, bad, toxic. The bound makes the broadcast safe."""
+    """`rows` labelled texts at most, chosen by hash: doc_id, text, kind, bad, toxic. The bound makes the broadcast safe."""
     marks = (labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id")
              .agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"),
                   F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
              .select("doc_id", (F.col("toxic") > 0).alias("toxic"),
                      ((F.col("quality") < 1) | (F.col("toxic") > 0)).alias("bad"))
              .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows))
-    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    kind = F.xxhash64("lang") if "lang" in docs.columns else F.lit(0).cast("long")
+    return docs.select("doc_id", "text", kind.alias("kind")).join(F.broadcast(marks), "doc_id")
 
 
 def toxic_marks(sample: DataFrame) -> list[int]:
-    """Hashes of the words that a good share of toxic sample texts have and next to no other text."""
+    """Hashes of the words that a good share of one language's toxic sample texts have and next to no other text."""
     def per_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in tb.slices(batches, "text"):
             keys, text = plain_words(data, offsets)
-            toxic = np.array(rows.column("toxic").to_pylist(), bool)
+            toxic, kind = np.array(rows.column("toxic").to_pylist(), bool), rows.column("kind").to_numpy()
             _, first = np.unique(tb.mix(keys + tb.mix(text.astype(np.uint64))), return_index=True)
-            each, where = np.unique(keys[first], return_inverse=True)
-            bad = np.bincount(where, weights=toxic[text[first]], minlength=len(each))
+            key, of = keys[first], text[first]
+            _, at, where = np.unique(tb.mix(key + tb.mix(kind[of].view(np.uint64))), return_index=True, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(each.view(np.int64)), pa.array(bad.astype(np.int64)),
-                 pa.array(np.bincount(where, minlength=len(each)).astype(np.int64))], ["word", "bad", "both"])
+                [pa.array(kind[of[at]]), pa.array(key[at].view(np.int64)),
+                 pa.array(np.bincount(where, weights=toxic[of], minlength=len(at)).astype(np.int64)),
+                 pa.array(np.bincount(where, minlength=len(at)).astype(np.int64))], ["kind", "word", "bad", "both"])
 
-    total = sample.where("toxic").count()
-    if not total:
-        return []
-    seen = sample.mapInArrow(per_slice, "word long, bad long, both long").groupBy("word").agg(
+    total = sample.where("toxic").groupBy("kind").agg(F.count("*").alias("total"))
+    seen = sample.mapInArrow(per_slice, "kind long, word long, bad long, both long").groupBy("kind", "word").agg(
         F.sum("bad").alias("bad"), F.sum("both").alias("both"))
-    found = seen.where((F.col("bad") >= max(3.0, MARK_SHARE * total)) & (F.col("bad") >= MARK_PURITY * F.col("both")))
-    return [r.word for r in found.orderBy(F.desc("bad"), "word").limit(MARKS).collect()]
+    often = (seen.join(F.broadcast(total), "kind")  # as many rows as languages of the sample
+             .where(F.col("bad") >= F.greatest(F.lit(float(MARK_LEAST)), MARK_SHARE * F.col("total"))).select("kind", "word", "bad"))
+    everywhere = seen.groupBy("word").agg(F.sum("bad").alias("all_bad"), F.sum("both").alias("all_both"))
+    found = often.join(everywhere, "word").where(F.col("all_bad") >= MARK_PURITY * F.col("all_both"))
+    most = Window.partitionBy("kind").orderBy(F.desc("bad"), "word")
+    return sorted({r.word for r in found.withColumn("place", F.row_number().over(most)).where(F.col("place") <= MARKS).collect()})
 
 
 def grow(values: np.ndarray, bad: np.ndarray) -> list[tuple[int, bool, float]]:
@@ -181,9 +189,11 @@ def learn(values: np.ndarray, bad: np.ndarray, held: np.ndarray) -> list[list[tu
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[int], list[list[tuple[int, bool, float]]]]:
     """The marks and the rules. Only FIT_ROWS rows of a few numbers each reach the driver."""
-    sample = labelled(docs, labels)
+    sample = kept_table(labelled(docs, labels).withColumn("half", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")), F.lit(2))), "labelled")
     marks = toxic_marks(sample)
-    rows = statistics(sample, marks).select(
+    halves = [sample.where(F.col("half") == h) for h in (0, 1)]
+    counted = statistics(halves[0], toxic_marks(halves[1])).unionAll(statistics(halves[1], toxic_marks(halves[0])))
+    rows = counted.select(
         F.col("doc.bad").alias("bad"), (F.pmod(F.xxhash64(F.col("doc.doc_id").cast("string"), F.lit("held")), F.lit(3)) == 0).alias("held"),
         *FEATURES).orderBy(*FEATURES, "bad", "held").toPandas()
     if not len(rows):

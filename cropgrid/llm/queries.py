@@ -61,7 +61,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.judged(docs, table(spark, sf_dir, "labels")).select(
         "doc.doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
 

@@ -2,8 +2,10 @@
 
 Everything is DataFrame and SQL functions. A text is cut at the matches of a pattern, and the lengths of the
 pieces and matches, added up in one fold, give each match its place in code points. The values found are
-then counted over the whole corpus: by documents, distinct repositories and distinct owners. Values that several
-owners share are copied examples; those of one owner only look live.
+then counted over the whole corpus: by documents, distinct repositories and distinct owners. Values that at least two owners and
+EXAMPLE_SHARE of all owners of the corpus (or EXAMPLE_OWNERS of them) share are widely copied examples; all others look live and are
+masked, so a credential that turns up under a few owners does not stay. Repositories are told apart within an owner: a value never
+has fewer documents or repositories than owners.
 
 Defined cases: a null or empty text has no spans. Repeated rows count as documents of their own; a null owner
 or repository counts as one owner of its own. Spans of different kinds may overlap, all stay. In a tie of
@@ -24,8 +26,8 @@ KINDS = [
     ("bearer", r"(?:gh[oprsu]|xox[abp]|glpat|sk|rk)[_-][A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 16),
 ]
 BASE = ("assign", "access", "hex")
-#: Values of more owners than this are taken for copied examples.
-LIVE_OWNERS = 1
+#: Values of so large a share of the corpus's owners are copied examples, or of so many owners where there are very many.
+EXAMPLE_SHARE, EXAMPLE_OWNERS = 0.5, 100
 MASK = "[SECRET]"
 
 
@@ -64,8 +66,13 @@ def ownership(spans: DataFrame) -> DataFrame:
         F.sum("n").alias("uses"), F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
 
 
+def example_owners(total: str) -> Column:
+    """How many owners make a value a copied example when the corpus has `total`."""
+    return F.greatest(F.lit(2), F.least(F.ceil(EXAMPLE_SHARE * F.col(total)), F.lit(EXAMPLE_OWNERS)))
+
+
 def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), text: str = "text") -> DataFrame:
-    """`docs` with `spans`, each with uses, repositories, owners and live (few owners), in order.
+    """`docs` with `spans`, each with uses, repositories, owners and live (not widely copied), in order.
 
     Only values and ids of documents with spans are shuffled, never texts; documents without spans stay
     where they are. Rows are told apart by a hash of all their columns, so that repeated rows are alike.
@@ -78,11 +85,12 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
         F.col("_1").cast("string").alias("owner"),
         F.to_json(F.struct(*[f"_{i + 2}" for i in range(len(repository))]), {"ignoreNullFields": "false"}).alias("repository"))
     each = keyed.where("_row is not null").select("_row", "owner", "repository", F.explode("spans").alias("s")).withColumn("value_hash", F.sha2("s.value", 256))
-    known = ownership(each.select("value_hash", "owner", "repository"))
+    whole = docs.select(F.col(f"`{owner}`").cast("string").alias("owner")).distinct().agg(F.count("*").alias("total")).select(example_owners("total").alias("many"))
+    known = ownership(each.select("value_hash", "owner", "repository")).crossJoin(F.broadcast(whole))  # one row
     judged = (each.select("_row", "value_hash", "s.start", "s.rank", "s.end", "s.kind").distinct().join(known, "value_hash")
               .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
                   "start", "rank", "end", "kind", "uses", "repositories", "owners",
-                  (F.col("owners") <= LIVE_OWNERS).alias("live")))).alias("verdicts")))
+                  (F.col("owners") < F.col("many")).alias("live")))).alias("verdicts")))
     joined = keyed.where("_row is not null").select("_doc", "_row").join(judged, "_row").select("_doc", "verdicts")
     without = keyed.where("_row is null").select("_doc", F.array().cast(judged.schema["verdicts"].dataType).alias("verdicts"))
     return joined.unionAll(without)

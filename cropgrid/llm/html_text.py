@@ -1,14 +1,18 @@
 """HTML extraction: the main text of a page by its line-block distribution.
 
-Markup is stripped into lines, one for each block element. A line weighs as much text as it holds outside
-links; lines of navigation, headers, footers, side bars, notices, adverts, forms and comments weigh nothing.
-The weights of BLOCK lines in a row are summed. Where this sum surges above the threshold the text begins, and where it
-dives to nothing it ends; lines between are kept. Pages that mark up an article (or main part) give weight to its lines
-only, so any positive sum counts there; on other pages a surge needs SURGE characters.
+Markup is stripped into lines, one for each block element. Lines of navigation, headers, footers, side bars, notices, adverts,
+forms and comments are dropped. Pages that mark up an article (or main part) keep all its other lines, whatever is in links.
+On pages without one a line weighs as much text as it holds outside links, and the weights of BLOCK lines in a row are summed.
+Where this sum surges above SURGE the text begins, with the lines of some weight right before, and where it dives to nothing it
+ends; all lines between that are not in a dropped part are kept, in every such stretch of the page.
+
+A class or id drops an element only if it holds no article, no main part and not most of the page's text outside links, since
+such names also say what a wrapper has beside the text; names of comments and of lists of other pages do unless a main part is
+inside. A form with an article or main part stays. Inside an article a header by name stays, as the element does.
 
 Defined cases: a null or empty page, or one without text, gives an empty text. Unclosed and stray tags are
-tolerated, an unclosed script or comment ends the page. Several equally long parts: the first. Repeated pages each get
-their row. Character references are decoded once; white space inside a block becomes one space.
+tolerated, an unclosed script or comment ends the page. A page without a surge keeps all lines outside dropped parts. Repeated
+pages each get their row. Character references are decoded once; white space inside a block becomes one space.
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ PARTS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|"
     r"side-?bar|menu|nav\w*|breadcrumbs?|header|masthead|footer|comments?|disqus|replies|respond|share|social|related|"
     r"recommend\w*|widget|login|signup|pagination|pager|toolbar)(?:$|[\s_-])", re.I)
+#: Names of parts that hold articles of their own, and names that an article's own parts have too.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|disqus|replies|respond|related|recommend\w*)(?:$|[\s_-])", re.I)
+HEADERS = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"}
 
 DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(%s)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>" % "|".join(RAW), re.I | re.S)
@@ -45,35 +52,69 @@ ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)", re.I)
 WHITE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
-def off_topic(name: str, attributes: str, in_article: bool) -> bool:
+#: Kinds of dropped parts: by element or role, by a name in OTHERS, a form, by another name.
+ELEMENT, OTHER, FORM, NAME = 1, 2, 3, 4
+
+
+def off_topic(name: str, attributes: str, in_article: bool) -> int:
+    """The kind of dropped part that an element may be, or 0."""
+    if name == "form":
+        return FORM
     if name in ASIDE or (name == "header" and not in_article):
-        return True
+        return ELEMENT
     if name in ("html", "body", "article", "main") or not attributes:
-        return False
+        return 0
     role = ROLE.search(attributes)
-    return bool(role and role[1].lower() in ROLES) or any(PARTS.search(a or b or c) for a, b, c in NAMED.findall(attributes))
+    if role and role[1].lower() in ROLES:
+        return ELEMENT
+    names = [HEADERS.sub("", a or b or c) if in_article else a or b or c for a, b, c in NAMED.findall(attributes)]
+    if any(OTHERS.search(x) for x in names):
+        return OTHER
+    return NAME if any(PARTS.search(x) for x in names) else 0
+
+
+def dropped(parts: list[tuple[int, int]], main: list[int], article: list[int], weight: list[int]) -> list[bool]:
+    """Whether the text of each part is dropped. `parts`: kind and the part around it, which comes before; the first is the page.
+    `main`, `article`: how many are right in the part; `weight`: of its own lines."""
+    main, article, weight = list(main), list(article), list(weight)
+    for i in range(len(parts) - 1, 0, -1):
+        kind, around = parts[i]
+        if kind != ELEMENT:
+            main[around] += main[i]
+            article[around] += article[i] * (kind != OTHER)
+            weight[around] += weight[i] * (kind == NAME)
+    out = [False] * len(parts)
+    for i in range(1, len(parts)):
+        kind, around = parts[i]
+        stays = kind != ELEMENT and (main[i] > 0 or (kind != OTHER and article[i] > 0) or (kind == NAME and 2 * weight[i] > weight[0]))
+        out[i] = out[around] or not stays
+    return out
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """Text, weight and whether it is inside an article, of each block that has text."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, off topic, article
+def lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """Text, weight, whether it is inside an article, and whether in a dropped part, of each block that has text."""
+    out: list[tuple[str, int, bool, int]] = []
+    stack: list[tuple[str, int, bool]] = []  # element, the part around it, article
     parts: list[str] = []
-    linked = links = articles = off = at = 0
+    tree, main, article, weights = [(0, 0)], [0], [0], [0]
+    linked = links = articles = part = at = 0
     page = DROPPED.sub(" ", page)
 
     def end() -> None:
         nonlocal linked
         text = WHITE.sub(" ", html.unescape("".join(parts))).strip(" ")
         if text:
-            out.append((text, 0 if off else max(1, len(text) - linked) if len(text) > 1.25 * linked else 0, articles > 0))
+            weight = max(1, len(text) - linked) if len(text) > 1.25 * linked else 0
+            weights[part] += weight
+            out.append((text, weight, articles > 0, part))
         parts.clear()
         linked = 0
 
     def leave(n: int) -> None:
-        nonlocal off, articles
-        for _, was_off, was_article in stack[n:]:
-            off -= was_off
+        nonlocal part, articles
+        if n < len(stack):
+            part = stack[n][1]
+        for _, _, was_article in stack[n:]:
             articles -= was_article
         del stack[n:]
 
@@ -99,14 +140,21 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         elif name not in VOID and not tag[3].endswith("/"):
             if stack and stack[-1][0] in LOOSE and (name == stack[-1][0] or stack[-1][0] == "p"):
                 leave(len(stack) - 1)
-            marked = off_topic(name, tag[3], articles > 0)
-            article = name in ("article", "main")
-            stack.append((name, marked, article))
-            off += marked
-            articles += article
+            kind = off_topic(name, tag[3], articles > 0)
+            inside = name in ("article", "main")
+            stack.append((name, part, inside))
+            main[part] += name == "main"
+            article[part] += name == "article"
+            articles += inside
+            if kind:
+                tree.append((kind, part))
+                part = len(tree) - 1
+                for each in (main, article, weights):
+                    each.append(0)
     parts.append(page[at:] if not page[at:].startswith("<") else "")
     end()
-    return out
+    off = dropped(tree, main, article, weights)
+    return [(text, 0 if off[i] else weight, inside, off[i]) for text, weight, inside, i in out]
 
 
 def main_text(page: str | None) -> str:
@@ -114,30 +162,26 @@ def main_text(page: str | None) -> str:
     found = lines(page or "")
     if not found:
         return ""
-    weight = np.array([w for _, w, _ in found], np.int64)
-    inside = np.array([a for _, _, a in found], bool)
-    marked = bool(weight[inside].any())
-    if marked:
-        weight = np.where(inside, weight, 0)
-    sums = np.convolve(weight, np.ones(BLOCK, np.int64))[BLOCK - 1:]  # of each line and the next ones
-    kept = np.zeros(len(found), bool)
-    at, best = 0, 0
-    while at < len(found):
-        surge = next((i for i in range(at, len(found)) if weight[i] and sums[i] >= (1 if marked else SURGE)), None)
-        if surge is None:
-            break
-        dive = next((i for i in range(surge, len(found)) if not sums[i]), len(found))
-        size = int(weight[surge:dive].sum())
-        if marked:
-            kept[surge:dive] = True
-        elif size > best:
-            best, kept = size, np.zeros(len(found), bool)
-            kept[surge:dive] = True
-        at = dive
-    if not kept.any():
-        kept[:] = True
-    kept &= weight > 0
-    return "\n".join(text for (text, _, _), keep in zip(found, kept, strict=True) if keep)
+    weight = np.array([w for _, w, _, _ in found], np.int64)
+    kept = np.array([not off for _, _, _, off in found], bool)
+    inside = kept & np.array([a for _, _, a, _ in found], bool)
+    if inside.any():
+        kept = inside
+    else:
+        sums = np.convolve(weight, np.ones(BLOCK, np.int64))[BLOCK - 1:]  # of each line and the next ones
+        between, at = np.zeros(len(found), bool), 0
+        while at < len(found):
+            surge = next((i for i in range(at, len(found)) if weight[i] and sums[i] >= SURGE), None)
+            if surge is None:
+                break
+            dive = next((i for i in range(surge, len(found)) if not sums[i]), len(found))
+            while surge > at and weight[surge - 1]:
+                surge -= 1
+            between[surge:dive] = True
+            at = dive
+        if between.any():
+            kept &= between
+    return "\n".join(text for (text, *_), keep in zip(found, kept, strict=True) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:

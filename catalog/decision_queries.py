@@ -569,7 +569,7 @@ select * from (select count(*) as cost_rows, {n('min(ano)', 'cost_year_min')}, {
 def yield_model_evaluation(spark, sf_dir):
     """Fits the candidates on both splits and reports every metric; iterative, so without SQL."""
     cfg = ModelSettings(training_start_year=1997, training_end_year=2001, temporal_test_start_year=2000)
-    makers = modelling.default_candidates(iterations=8, trees=16)
+    makers = modelling.default_candidates()
     out = modelling.evaluate_candidates(_training(spark, sf_dir), cfg, makers)
     return plain(out.metrics.withColumns({
         "selected": F.lit(out.selected), "promoted": F.lit(out.promoted), "radius": F.lit(out.intervals["radius"]),

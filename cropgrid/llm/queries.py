@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropgrid.llm import bpe, chat, decontaminate, html_text, jaccard, mixing, quality, secrets_scan, substrings, suffixes
+from cropgrid.llm import bpe, chat, decontaminate, html_text, jaccard, mixing, quality, secrets_scan, simhash, substrings, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc.doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_jaccard": (op1_jaccard, None),
     "op2_bpe": (op2_bpe, None),
@@ -77,4 +81,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_mixing": (op8_mixing, None),
     "op9_secrets": (op9_secrets, None),
     "op10_quality": (op10_quality, None),
+    "op11_simhash": (op11_simhash, None),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropgrid.llm import bpe, chat, decontaminate, html_text, jaccard, mixing, quality, secrets_scan, simhash, substrings, suffixes
+from cropgrid.llm import bpe, chat, decontaminate, html_text, jaccard, merkle, mixing, quality, secrets_scan, simhash, substrings, suffixes, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,14 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_jaccard": (op1_jaccard, None),
     "op2_bpe": (op2_bpe, None),
@@ -82,4 +90,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_secrets": (op9_secrets, None),
     "op10_quality": (op10_quality, None),
     "op11_simhash": (op11_simhash, None),
+    "op12_merkle": (op12_merkle, merkle.SQL),
+    "op13_trie": (op13_trie, trie.SQL),
 }

@@ -32,8 +32,8 @@ from cropgrid.session import cut_lineage, kept_table
 
 WORDS, BITS, RADIUS = 3, 64, 2
 SEED = 42
-#: Shingles whose bits are counted at a time.
-CHUNK = 1 << 17
+#: Bytes of texts taken at a time, and shingles whose bits are counted at a time.
+SLICE, CHUNK = 1 << 20, 1 << 15
 
 
 def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,14 +67,14 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                              np.uint64, len(begin[some]))
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         first = np.flatnonzero(np.r_[True, owner[some][1:] != owner[some][:-1]])
-        counts[owner[some][first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        counts[owner[some][first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
     return np.packbits(2 * counts > total[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def described(docs: DataFrame) -> DataFrame:
     """doc_id and the fingerprint as a signed long of every row."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in tb.slices(batches, "text"):
+        for rows, data, offsets in tb.slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array(fingerprints(data, offsets).view(np.int64))], ["doc_id", "print"])
 

@@ -1,119 +1,103 @@
 """Exact nearest and farthest neighbours on the sphere without comparing all pairs.
 
-Targets are sorted into latitude/longitude cells, and a cell is split until it holds few targets.
-A search keeps, per point, only the cells whose best possible distance can still beat the distance
-to a target already seen; each level costs a join with the small cell table, and the candidates of
-a point stay in the partition of that point. What is left is compared with the few targets of the
-surviving leaf cells, so the answer is the exact one.
+Points and targets fall into cells of a fixed pyramid of latitude/longitude grids. A table of cell pairs says which target
+cells can hold the answer for some point of a point cell: it starts with the coarsest cells, and a level keeps a pair if
+the best distance that the two cells' bounds allow is no worse than a distance that some target surely gives to every
+point of the cell. Its size follows the occupied cells, not the points. On the finest level it becomes a table from point cells
+to candidate targets, which points meet in one salted join; the least struct of distance and key is the exact answer.
+
+All of it is one lazy plan: no job runs before the action, whatever the data. The finest cells are some 20 km wide, so
+a point meets the targets of a few such cells; a denser set of targets needs a further entry in WIDTHS.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import half_chord, haversine_km
-from ..session import cut_lineage
-
-LEAF_TARGETS = 32
-ROOT_DEGREES = 22.5
-SPLIT = 4
-MAX_LEVEL = 12
-# Cell and target tables are broadcast only up to this many rows; beyond it Spark shuffles.
-BROADCAST_ROWS = 200_000
-
-
-def _cell(level: int) -> Column:
-    if level == 0:
-        return F.lit(0).cast("long")
-    width = ROOT_DEGREES / SPLIT ** (level - 1)
-    row = F.floor((F.col("_tlat") + 90.0) / F.lit(width))
-    column = F.floor((F.col("_tlon") + 180.0) / F.lit(width))
+from .skew import salted_join
+
+#: Degrees of a cell on each level; each divides the one before.
+WIDTHS = (11.25, 2.8125, 0.703125, 0.17578125)
+SLACK = 1e-9
+
+
+def _cell(lat: str, lon: str, width: float) -> Column:
+    """Number of the cell, unique on its level."""
+    row, column = (F.floor((F.col(c) + shift) / F.lit(width)) for c, shift in ((lat, 90.0), (lon, 180.0)))
     return row * F.lit(1 << 32) + column
 
 
-class _Tree:
-    """Leaf cells of a target set plus the cells above them."""
-
-    def __init__(self, targets: DataFrame, by: list[str]):
-        # Unique coordinates per group; ties between equal coordinates go to the first key.
-        unique = targets.groupBy(*by, "_tlat", "_tlon").agg(F.min("_key").alias("_key"))
-        self.by = by
-        rest = cut_lineage(unique)
-        self.size = rest.count()
-        self.levels: list[DataFrame] = []
-        leaves: list[DataFrame] = []
-        self.nodes = 0
-        for level in range(MAX_LEVEL + 1):
-            here = rest.withColumn("_cell", _cell(level))
-            above = _cell(level - 1) if level else F.lit(0).cast("long")
-            nodes = here.groupBy(*by, "_cell", above.alias("_above")).agg(
-                F.count(F.lit(1)).alias("_size"),
-                F.min("_tlat").alias("_lat0"), F.max("_tlat").alias("_lat1"),
-                F.min("_tlon").alias("_lon0"), F.max("_tlon").alias("_lon1"),
-                F.min_by("_tlon", "_tlat").alias("_seen_lon"),
-            )
-            last = level == MAX_LEVEL
-            leaf = F.lit(True) if last else F.col("_size") <= LEAF_TARGETS
-            nodes = nodes.select(
-                *by, F.lit(level).alias("_level"), "_cell", F.lit(level - 1).alias("_plevel"),
-                F.col("_above").alias("_pcell"), leaf.alias("_leaf"),
-                "_lat0", "_lat1", "_lon0", "_lon1", "_seen_lon",
-            ).persist(StorageLevel.MEMORY_AND_DISK)
-            self.levels.append(nodes)
-            tally = nodes.agg(F.count(F.lit(1)), F.count_if(~F.col("_leaf"))).first()
-            self.nodes += tally[0]
-            at = F.col("_leaf") if tally[1] else F.lit(True)
-            found = here if not tally[1] else here.join(
-                nodes.where(at).select(*by, "_cell"), [*by, "_cell"], "left_semi"
-            )
-            leaves.append(found.withColumn("_level", F.lit(level)))
-            if not tally[1]:
-                break
-            rest = here.join(
-                nodes.where(~F.col("_leaf")).select(*by, "_cell"), [*by, "_cell"], "left_semi"
-            ).drop("_cell")
-        self.leaves = reduce(DataFrame.unionByName, leaves)
-
-    def children(self, level: int) -> DataFrame:
-        """Cells of a level, plus earlier leaves standing in for themselves."""
-        tables = [self.levels[level]]
-        for earlier in self.levels[:level]:
-            tables.append(
-                earlier.where("_leaf").withColumns(
-                    {"_plevel": F.col("_level"), "_pcell": F.col("_cell")}
-                )
-            )
-        return reduce(DataFrame.unionByName, tables)
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _numbered(df: DataFrame, side: str) -> DataFrame:
+    """With the cells of all levels, `_p0`, `_p1`, ... for points and `_t0`, ... for targets."""
+    return df.withColumns({f"_{side}{i}": _cell(f"_{side}lat", f"_{side}lon", w) for i, w in enumerate(WIDTHS)})
+
+
+def _cells(df: DataFrame, side: str, level: int, by: list[str]) -> DataFrame:
+    """Occupied cells of a level with the bounds of what lies in them; target cells also with one target's place."""
+    lat, lon = f"_{side}lat", f"_{side}lon"
+    bounds = [F.min(lat).alias(f"{lat}0"), F.max(lat).alias(f"{lat}1"), F.min(lon).alias(f"{lon}0"), F.max(lon).alias(f"{lon}1")]
+    seen = [F.min_by(lon, lat).alias("_seen")] if side == "t" else []
+    above = [f"_{side}{level - 1}"] if level else []
+    return df.groupBy(*by, *above, f"_{side}{level}").agg(*bounds, *seen)
+
+
+def _square(degrees: Column) -> Column:
+    """Haversine of an angle: even, with period 360, least at 0 and greatest at 180."""
+    half = F.sin(F.radians(degrees) / 2)
+    return half * half
+
+
+def _cosines(lat0: str, lat1: str) -> tuple[Column, Column]:
+    """Least and greatest cosine between two latitudes."""
+    ends = F.cos(F.radians(lat0)), F.cos(F.radians(lat1))
+    return F.least(*ends), F.when((F.col(lat0) <= 0) & (F.col(lat1) >= 0), 1.0).otherwise(F.greatest(*ends))
+
+
+def _spread(a0: Column, a1: Column, b0: Column, b1: Column) -> tuple[Column, Column]:
+    """Least and greatest haversine of the longitude between two ranges; b - a lies between b0 - a1 and b1 - a0."""
+    low, high = b0 - a1, b1 - a0
+    reaches = lambda at: (low <= at) & (high >= at)
+    least = F.when(reaches(0.0) | reaches(360.0) | reaches(-360.0), 0.0).otherwise(F.least(_square(low), _square(high)))
+    most = F.when(reaches(180.0) | reaches(-180.0), 1.0).otherwise(F.greatest(_square(low), _square(high)))
+    return least, most
 
 
 def _bounds(farthest: bool) -> tuple[Column, Column]:
-    """(optimistic, certain) half-chord from a point to a cell's targets."""
-    lat, lon = F.radians("_plat"), F.radians("_plon")
-    lat0, lat1, lon0, lon1 = (F.radians(c) for c in ("_lat0", "_lat1", "_lon0", "_lon1"))
-    square = lambda x: F.sin(x / 2) * F.sin(x / 2)
-    seen = half_chord("_plat", "_plon", "_lat0", "_seen_lon")  # the cell's southernmost target
-    cos0, cos1 = F.cos(lat0), F.cos(lat1)
+    """Half-chords of a pair of cells: the best that any point and target may have, and one that some target surely
+    gives to every point (for the nearest, at most; for the farthest, at least)."""
+    c = F.col
+    cos_p, cos_t = _cosines("_plat0", "_plat1"), _cosines("_tlat0", "_tlat1")
+    lon = _spread(c("_plon0"), c("_plon1"), c("_tlon0"), c("_tlon1"))
+    near_lat = _square(F.greatest(c("_tlat0") - c("_plat1"), c("_plat0") - c("_tlat1"), F.lit(0.0)))
+    far_lat = _square(F.greatest(c("_tlat1") - c("_plat0"), c("_plat1") - c("_tlat0")))
+    # the seen target is the southernmost one of its cell
+    seen_lon = _spread(c("_plon0"), c("_plon1"), c("_seen"), c("_seen"))
+    seen_cos = F.cos(F.radians("_tlat0"))
+    seen_near = _square(F.greatest(c("_tlat0") - c("_plat1"), c("_plat0") - c("_tlat0"), F.lit(0.0)))
+    seen_far = _square(F.greatest(F.abs(c("_tlat0") - c("_plat0")), F.abs(c("_plat1") - c("_tlat0"))))
     if farthest:
-        d_lat = F.greatest(F.abs(lat - lat0), F.abs(lat - lat1))
-        antipode = F.pmod(F.col("_plon") + 360.0, F.lit(360.0)) - 180.0
-        opposite = (antipode >= F.col("_lon0")) & (antipode <= F.col("_lon1"))
-        d_lon = F.when(opposite, 1.0).otherwise(F.greatest(square(lon - lon0), square(lon - lon1)))
-        widest = F.when((F.col("_lat0") <= 0) & (F.col("_lat1") >= 0), 1.0).otherwise(
-            F.greatest(cos0, cos1)
-        )
-        return square(d_lat) + F.cos(lat) * widest * d_lon, seen
-    d_lat = F.greatest(lat0 - lat, lat - lat1, F.lit(0.0))
-    within = (lon >= lon0) & (lon <= lon1)
-    d_lon = F.when(within, 0.0).otherwise(F.least(square(lon - lon0), square(lon - lon1)))
-    return square(d_lat) + F.cos(lat) * F.least(cos0, cos1) * d_lon, seen
+        return far_lat + cos_p[1] * cos_t[1] * lon[1], seen_near + cos_p[0] * seen_cos * seen_lon[0]
+    return near_lat + cos_p[0] * cos_t[0] * lon[0], seen_far + cos_p[1] * seen_cos * seen_lon[1]
+
+
+def _candidate_cells(points: DataFrame, seats: DataFrame, by: list[str], given: list[str], farthest: bool) -> DataFrame:
+    """by, the finest point cell and the finest target cells that may hold the answer of one of its points."""
+    sign = -1 if farthest else 1
+    hope, sure = _bounds(farthest)
+    open_ = None
+    for level in range(len(WIDTHS)):
+        p, t = _cells(points, "p", level, given), _cells(seats, "t", level, by)
+        if open_ is None:  # all pairs of the coarsest cells: as many as the sphere has, at most
+            met = p.withColumn("_root", F.lit(0)).join(t.withColumn("_root", F.lit(0)), [*given, "_root"])
+        else:
+            met = open_.join(p, [*given, f"_p{level - 1}"]).join(t, [*by, f"_t{level - 1}"])
+        here = Window.partitionBy(*by, f"_p{level}")
+        judged = met.withColumns({"_hope": hope * sign, "_sure": sure * sign}).withColumn("_best", F.min("_sure").over(here))
+        kept = judged.where(F.col("_hope") <= F.col("_best") + F.abs("_best") * SLACK + 1e-15)
+        open_ = kept.select(*by, f"_p{level}", f"_t{level}")
+    return open_
 
 
 def extreme_neighbours(
@@ -130,61 +114,39 @@ def extreme_neighbours(
     """Per distinct (group, point coordinate): the nearest (or farthest) target and its distance.
 
     Returns ``by + point coordinates + target_key + distance_km``. Groups without targets yield
-    no row. Among equal distances the smallest target key wins. With ``every_group`` the points
-    carry no group and are searched in each one; groups must then be few, such as seasons.
+    no row. Among equal distances the smallest target key wins; keys travel with candidates, so keep them narrow. With
+    ``every_group`` the points carry no group and are searched in each one; groups must then be few, such as seasons.
     """
     plat, plon = point_coordinates
     tlat, tlon = target_coordinates
-    tree = _Tree(
+    given = [] if every_group else by
+    # Unique coordinates per group; the first key stands for all targets of one place.
+    seats = _numbered(
         targets.select(
             *by, F.col(tlat).cast("double").alias("_tlat"), F.col(tlon).cast("double").alias("_tlon"),
             F.col(target_key).alias("_key"),
-        ).where("_tlat is not null and _tlon is not null"),
-        by,
+        ).where("_tlat is not null and _tlon is not null")
+        .groupBy(*by, "_tlat", "_tlon").agg(F.min("_key").alias("_key")),
+        "t",
     )
-    place = [*by, "_plat", "_plon"]
-    given = [] if every_group else by
-    open_ = (
+    places = _numbered(
         points.select(
             *given, F.col(plat).cast("double").alias("_plat"), F.col(plon).cast("double").alias("_plon")
         )
         .where("_plat is not null and _plon is not null")
-        .distinct()
-        .withColumns({"_level": F.lit(-1), "_cell": F.lit(0).cast("long")})
+        .distinct(),
+        "p",
     )
-    if every_group:
-        groups = tree.levels[0].select(*by).collect()
-        if not groups:
-            raise ValueError("there are no targets to search")
-        kinds = dict(tree.levels[0].select(*by).dtypes)
-        rows = [F.struct(*[F.lit(g[c]).cast(kinds[c]).alias(c) for c in by]) for g in groups]
-        open_ = open_.select("*", F.inline(F.array(*rows)))
+    finest_p, finest_t = (f"_{side}{len(WIDTHS) - 1}" for side in "pt")
+    cells = _candidate_cells(places, seats, by, given, farthest)
+    candidates = cells.join(seats.select(*by, finest_t, "_tlat", "_tlon", "_key"), [*by, finest_t]).drop(finest_t)
     sign = -1 if farthest else 1
-    per_point = Window.partitionBy(*place)
-    for level in range(len(tree.levels)):
-        cells = _small(tree.children(level), tree.nodes)
-        step = open_.withColumnsRenamed({"_level": "_plevel", "_cell": "_pcell"}).join(
-            cells, [*by, "_plevel", "_pcell"]
-        )
-        hope, sure = _bounds(farthest)
-        step = step.withColumns({"_hope": hope * sign, "_sure": sure * sign})
-        best = F.min("_sure").over(per_point)
-        open_ = step.withColumn("_best", best).where(
-            F.col("_hope") <= F.col("_best") + F.abs(F.col("_best")) * 1e-9 + 1e-15
-        ).select(*place, "_level", "_cell")
-    # Only coordinates are compared; the key, which may be a wide row, joins the winners. The rows
-    # of a point are already together, so this window adds no shuffle.
-    seats = tree.leaves.select(*by, "_level", "_cell", "_tlat", "_tlon")
-    pairs = open_.join(_small(seats, tree.size), [*by, "_level", "_cell"]).withColumn(
-        "_far", half_chord("_plat", "_plon", "_tlat", "_tlon") * sign
-    )
-    winners = pairs.withColumn("_least", F.min("_far").over(per_point)).where("_far = _least").select(
-        *place, "_tlat", "_tlon"
-    )
-    keyed = winners.join(
-        _small(tree.leaves.select(*by, "_tlat", "_tlon", "_key"), tree.size), [*by, "_tlat", "_tlon"]
+    met = salted_join(places.select(*given, finest_p, "_plat", "_plon"), candidates, [*given, finest_p])
+    found = (
+        met.withColumn("_far", half_chord("_plat", "_plon", "_tlat", "_tlon") * sign)
+        .groupBy(*by, "_plat", "_plon")
+        .agg(F.min(F.struct("_far", "_key", "_tlat", "_tlon")).alias("_pick"))
     )
-    found = keyed.groupBy(*place).agg(F.min(F.struct("_key", "_tlat", "_tlon")).alias("_pick"))
     return found.select(
         *by, F.col("_plat").alias(plat), F.col("_plon").alias(plon),
         F.col("_pick._key").alias(target_key),

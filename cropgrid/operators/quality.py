@@ -131,6 +131,29 @@ def require_unique(df: DataFrame, key: list[str], what: str = "table") -> DataFr
     return df
 
 
+def many_to_one(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner", what: str = "facts") -> DataFrame:
+    """Join ``facts`` onto ``rows`` by a key that ``facts`` must hold once; a key it holds twice fails the job.
+
+    The copies are counted where the facts are already grouped by the key for the join, so the check costs no second pass and no
+    job of its own. Null keys join nothing and may occur often.
+    """
+    others = [c for c in facts.columns if c not in keys]
+    keyed = facts.dropna(subset=keys)
+    fact = F.struct(*[F.col(c) for c in others]) if others else F.lit(True)
+    single = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), F.any_value(fact).alias("_fact"))
+    text = F.concat(F.lit(f"{what} hold a key more than once: "), F.concat_ws(",", *[F.col(c).cast("string") for c in keys]))
+    once = F.when(F.col("_copies") == 1, F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))
+    checked = single.where(once).select(*keys, *[F.col(f"_fact.{c}").alias(c) for c in others])
+    return rows.join(checked, keys, how)
+
+
+def join_offenders(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that would fail ``many_to_one``: ``keys, copies, rows_hit`` (rows that the join would multiply)."""
+    copies = duplicate_keys(facts.dropna(subset=keys), keys)
+    hit = rows.join(copies.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_hit"))
+    return copies.join(hit, keys, "left").withColumn("rows_hit", F.coalesce("rows_hit", F.lit(0)))
+
+
 def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, missing`` for all columns in one aggregate."""
     totals = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import plausible_readings, provenance, season_hours, season_year, withhold
+from ..functions.geo import chord_to_km, half_chord
 from ..operators.merge import keep_last, union_widening
 from ..operators.neighbours import extreme_neighbours
-from ..session import cut_lineage
+from ..operators.quality import many_to_one
 
 # Station identity, seasonal climate features and provenance texts.
 METADATA = ["station_name", "station_uf", "station_latitude", "station_longitude", "station_altitude_m"]
@@ -119,50 +120,64 @@ def _version_totals(daily: DataFrame) -> DataFrame:
     )
 
 
-def metadata_policy(versions: DataFrame, tolerance_km: float = METADATA_TOLERANCE_KM) -> DataFrame:
-    """Per station and season: may its metadata versions be merged, and into which one.
+def _widest(places: str) -> Column:
+    """Largest distance between two places of an array."""
+    apart = lambda a, b: half_chord(a.lat, a.lon, b.lat, b.lon)
+    return chord_to_km(F.array_max(F.transform(places, lambda a: F.array_max(F.transform(places, lambda b: apart(a, b))))))
 
-    Versions merge when the state is unchanged and no two of them lie further apart than the
-    tolerance; the latest version then names the station.
-    """
+
+def _judged(tolerance_km: float) -> dict[str, Column]:
+    """The metadata decision from `_versions`, `_same_uf`, `_unplaced` and `_places`."""
     if not math.isfinite(tolerance_km) or tolerance_km < 0:
         raise ValueError("metadata tolerance must be finite and not negative")
-    key = ["station_code", "season_year"]
-    versions = versions.groupBy(*key, *METADATA).agg(F.max("_last_day").alias("_last_day"))
-    facts = versions.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("station_metadata_versions"),
-        F.min("station_uf").eqNullSafe(F.max("station_uf")).alias("_same_uf"),
-        F.count_if(F.col("station_latitude").isNull() | F.col("station_longitude").isNull()).alias("_unplaced"),
-        F.max(F.struct("_last_day", *METADATA)).alias("_latest"),
-    )
-    several = facts.where("station_metadata_versions > 1").select(*key)
-    moved = versions.join(several, key, "left_semi").select(*key, "station_latitude", "station_longitude")
-    here = ("station_latitude", "station_longitude")
-    apart = extreme_neighbours(
-        moved, moved.withColumn("_at", F.lit(0)), by=key, point_coordinates=here,
-        target_coordinates=here, target_key="_at", farthest=True,
-    ).groupBy(*key).agg(F.max("distance_km").alias("_shift"))
-    judged = facts.join(apart, key, "left")
-    shift = F.when(F.col("_unplaced") == 0, F.coalesce(F.col("_shift"), F.lit(0.0)))
+    shift = F.when(~F.col("_unplaced"), F.when(F.size("_places") > 1, _widest("_places")).otherwise(0.0))
     merge = F.coalesce((shift <= tolerance_km) & F.col("_same_uf"), F.lit(False))
     policy = (
-        F.when(F.col("station_metadata_versions") == 1, "stable")
+        F.when(F.col("_versions") == 1, "stable")
         .when(~F.col("_same_uf"), "segmented_uf_change")
         .when(merge, "canonicalized_latest_within_tolerance")
         .otherwise("segmented_coordinate_shift_over_tolerance")
     )
-    return judged.select(
-        *key, "station_metadata_versions", shift.alias("station_metadata_max_shift_km"),
-        F.lit(float(tolerance_km)).alias("station_metadata_tolerance_km"),
-        policy.alias("station_metadata_policy"), merge.alias("_merge"), "_latest",
-    )
+    return {
+        "station_metadata_versions": F.col("_versions").cast("long"), "station_metadata_max_shift_km": shift,
+        "station_metadata_tolerance_km": F.lit(float(tolerance_km)), "station_metadata_policy": policy, "_merge": merge,
+    }
+
+
+def _version_facts(over) -> dict[str, Column]:
+    """What is known of the metadata versions of a station and season; `over` makes an aggregate of them."""
+    unplaced = F.col("station_latitude").isNull() | F.col("station_longitude").isNull()
+    place = F.struct(F.col("station_latitude").alias("lat"), F.col("station_longitude").alias("lon"))
+    return {
+        "_versions": F.size(over(F.collect_set(F.struct(*METADATA)))),
+        "_same_uf": over(F.min("station_uf")).eqNullSafe(over(F.max("station_uf"))),
+        "_unplaced": over(F.max(unplaced)), "_places": over(F.collect_set(place)),
+        "_latest": over(F.max(F.struct("_last_day", *METADATA))),
+    }
+
+
+def metadata_policy(versions: DataFrame, tolerance_km: float = METADATA_TOLERANCE_KM) -> DataFrame:
+    """Per station and season: may its metadata versions be merged, and into which one.
+
+    Versions merge when the state is unchanged and no two of them lie further apart than the
+    tolerance; the latest version then names the station. A station has one row a day, so a season's versions
+    are no more than its days and fit one row.
+    """
+    key = ["station_code", "season_year"]
+    judged = _judged(tolerance_km)
+    facts = versions.groupBy(*key).agg(*[c.alias(name) for name, c in _version_facts(lambda c: c).items()])
+    return facts.select(*key, *[c.alias(name) for name, c in judged.items()], "_latest")
 
 
 def station_seasons(daily: DataFrame, *, metadata_tolerance_km: float = METADATA_TOLERANCE_KM) -> DataFrame:
-    """Season features per station segment, with coverage and the metadata decision."""
-    totals = cut_lineage(_version_totals(daily))
-    policy = metadata_policy(totals, metadata_tolerance_km)
-    named = totals.join(policy, ["station_code", "season_year"]).withColumns(
+    """Season features per station segment, with coverage and the metadata decision.
+
+    The versions of a station and season are a few rows of totals; the decision is made beside them in a window.
+    """
+    judged = _judged(metadata_tolerance_km)
+    season_of = Window.partitionBy("station_code", "season_year")
+    facts = _version_totals(daily).withColumns(_version_facts(lambda c: c.over(season_of)))
+    named = facts.withColumns(judged).withColumns(
         {m: F.when(F.col("_merge"), F.col(f"_latest.{m}")).otherwise(F.col(m)) for m in METADATA}
     )
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0)).alias(c)
@@ -203,21 +218,21 @@ def municipality_seasons(
     adequate = seasons.where(F.col("season_coverage") >= minimum_coverage)
     audit = [c for c in METADATA_AUDIT if c in seasons.columns]
     carried = ["station_name", "station_uf", *FEATURES, "season_coverage", "source_checksums", *audit]
-    targets = adequate.select(
-        "season_year", "station_latitude", "station_longitude",
-        F.struct("station_code", *carried).alias("station"),
-    )
+    name = F.struct("station_code", *METADATA)  # tells the segments of a season apart; features join the winners only
+    targets = adequate.select("season_year", "station_latitude", "station_longitude", name.alias("station"))
+    features = adequate.select("season_year", name.alias("station"), "station_code", *carried)
     placed = locations.where("latitude_centroid is not null and longitude_centroid is not null").select(
         *MUNICIPALITY
     )
-    # Seasons without an adequate station yield no rows; none at all is an error.
+    # Seasons without an adequate station yield no rows.
     nearest = extreme_neighbours(
         placed, targets, by=["season_year"], every_group=True,
         point_coordinates=("latitude_centroid", "longitude_centroid"),
         target_coordinates=("station_latitude", "station_longitude"), target_key="station",
     )
-    joined = placed.join(nearest, ["latitude_centroid", "longitude_centroid"]).select(
-        *MUNICIPALITY, "season_year", "station.*", F.col("distance_km").alias("distance_to_station_km")
+    described = many_to_one(nearest, features, ["season_year", "station"], what="station seasons")
+    joined = placed.join(described, ["latitude_centroid", "longitude_centroid"]).select(
+        *MUNICIPALITY, "season_year", "station_code", *carried, F.col("distance_km").alias("distance_to_station_km")
     )
     near = F.col("distance_to_station_km") <= max_distance_km
     return withhold(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import with_defaults
-from ..operators.quality import missing_counts
+from ..operators.quality import many_to_one, missing_counts
 from ..operators.quantiles import exact_quantiles
 from .history import history_features, trailing_median
 from .station import FEATURES, STATION_SOURCE
@@ -74,8 +74,8 @@ def training_frame(
     joined = (
         ranged.join(regional_medians(crop_rows, positive_only=False), ["uf", "ano"], "left")
         .join(lagged_climate(climate), ["codigo_ibge", "ano"], "left")
-        .join(_centroids(locations), "codigo_ibge", "left")
     )
+    joined = many_to_one(joined, _centroids(locations), ["codigo_ibge"], "left", "locations")
     nature = F.when(F.col(LAG + "rain_crop_cycle_mm").isNotNull(), F.col(LAG + "data_nature"))
     return joined.withColumns(
         {
@@ -122,12 +122,12 @@ def inference_frame(
     municipal = recent.where("_back <= 5").groupBy("codigo_ibge").agg(
         F.when(F.count(TARGET) >= 3, F.percentile(TARGET, 0.5)).alias("baseline_municipal_median_5y")
     )
-    return (
+    joined = (
         featured.join(municipal, "codigo_ibge", "left")
         .join(regional_medians(series, positive_only=True), ["uf", "ano"], "left")
         .join(lagged_climate(climate), ["codigo_ibge", "ano"], "left")
-        .join(_centroids(locations), "codigo_ibge")
     )
+    return many_to_one(joined, _centroids(locations), ["codigo_ibge"], "inner", "locations")
 
 
 def dataset_report(frame: DataFrame) -> DataFrame:

@@ -229,7 +229,8 @@ INTERVAL_SQL = with_views(f"""
 with c as (select a, n from (select *, row_number() over (order by a) as rn, count(*) over () as n from residuals where ano = 1999) where rn = {_pick})
 select 0.8::double as nominal_coverage, 1999::bigint as calibration_year, max(n) as calibration_rows, count(*) as evaluation_rows,
   {r('max(c.a)', 'radius')}, {r('avg(cast(y between greatest(p - c.a, 0) and p + c.a as int))', 'empirical_coverage')},
-  {r('avg(p + c.a - greatest(p - c.a, 0))', 'mean_interval_width')}
+  {r('avg(p + c.a - greatest(p - c.a, 0))', 'mean_interval_width')}, {r('avg(abs(p - y))', 'point_mae')},
+  {r('sqrt(avg(pow(p - y, 2)))', 'point_rmse')}
 from (select p, y from residuals where ano > 1999), c""".replace("\nwith c as", "\nselect * from (with c as") + ")",
     **FRAME_VIEWS, residuals=RESIDUALS)
 
@@ -238,7 +239,7 @@ def state_year_quantiles(spark, sf_dir):
     """Exact quantiles of line prices per return flag; each flag holds a third of all rows."""
     li = read(spark, sf_dir, "lineitem")
     return plain(exact_quantiles(
-        li, ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, count_as="rows", hot_group_rows=1000
+        li, ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, count_as="rows"
     ))
 
 

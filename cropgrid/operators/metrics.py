@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, is_finite
+from ..session import cut_lineage
 from .quantiles import conformal, exact_quantiles
 
 TARGET = "produtividade_kg_ha"
@@ -172,21 +173,29 @@ def interval(prediction: Column, radius: Column) -> tuple[Column, Column]:
 def evaluate_intervals(
     df: DataFrame, prediction: str, *, calibration_year: int, coverage: float, target: str = TARGET
 ) -> DataFrame:
-    """Calibrate on one year, evaluate on later years: coverage and width of the intervals."""
-    year = F.col("ano")
-    radius = conformal_radius(df.where(year == calibration_year), prediction, coverage, target=target)
-    later = df.where(year > calibration_year).join(F.broadcast(radius))  # radius is a single row
-    low, high = interval(F.col(prediction), F.col("radius"))
-    inside = F.col(target).between(low, high)
-    return later.agg(
-        F.lit(coverage).alias("nominal_coverage"),
-        F.lit(calibration_year).alias("calibration_year"),
-        F.max("calibration_rows").alias("calibration_rows"),
-        F.count(F.lit(1)).alias("evaluation_rows"),
-        F.max("radius").alias("radius"),
-        F.avg(inside.cast("double")).alias("empirical_coverage"),
-        F.avg(high - low).alias("mean_interval_width"),
+    """Calibrate on one year, evaluate on later years: coverage, width and errors of the intervals.
+
+    Both need three columns of the frame; these are kept once, so that the frame behind them runs once. A year without a finite
+    residual, or no row to evaluate, fails the job.
+    """
+    y, p, year = F.col("_y"), F.col("_p"), F.col("_year")
+    narrow = cut_lineage(df.select(F.col("ano").alias("_year"), F.col(target).cast("double").alias("_y"), F.col(prediction).cast("double").alias("_p"))
+                         .where(year >= calibration_year))
+    radius = conformal_radius(narrow.where(year == calibration_year), "_p", coverage, target="_y")
+    known = radius.agg(F.max("radius").alias("radius"), F.max("calibration_rows").alias("calibration_rows"))
+    later = narrow.where((year > calibration_year) & is_finite("_y") & is_finite("_p"))
+    low, high = interval(p, F.col("radius"))
+    inside = y.between(low, high)
+    judged = later.join(F.broadcast(known)).agg(  # a single row
+        F.max("calibration_rows").alias("calibration_rows"), F.count(F.lit(1)).alias("evaluation_rows"),
+        F.max("radius").alias("radius"), F.avg(inside.cast("double")).alias("empirical_coverage"),
+        F.avg(high - low).alias("mean_interval_width"), F.avg(F.abs(p - y)).alias("point_mae"),
+        F.sqrt(F.avg((p - y) * (p - y))).alias("point_rmse"),
     )
+    lacking = F.when(F.col("calibration_rows").isNull(), F.lit("no finite residual or no later row")).when(F.col("evaluation_rows") == 0, F.lit("no later row"))
+    whole = F.when(lacking.isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("intervals can not be evaluated: "), lacking)).cast("boolean"))
+    return judged.where(whole).select(
+        F.lit(coverage).alias("nominal_coverage"), F.lit(calibration_year).alias("calibration_year"), *judged.columns)
 
 
 def performance_confidence(selection_score: float, empirical: float, nominal: float) -> float:

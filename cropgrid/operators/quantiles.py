@@ -2,9 +2,11 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer, and ranking with a window
 sorts a group in one task. Both are fine for a municipality's ten harvests, not for a state or a
-whole table. Here each group first gets a small mergeable sketch; only the values between two
-sketch points around the wanted rank are then ranked, while the rest are counted. A rank outside its
-bracket is an error, never a neighbour's value.
+whole table. Here a rank is found by refinement, alike for groups of every size: copies of a value collapse to a count, the
+values of a group are counted by range, a prefix sum over the ranges tells which one holds the wanted rank, and only that
+one is opened again. The first ranges are of about equal depth, cut by a mergeable sketch, so that outliers do not
+matter; the next split the opened range evenly; then the few values left in it are ranked. Counts are exact in each
+round, so the sketch's error only makes a range longer, and a rank can not be missed.
 """
 
 from __future__ import annotations
@@ -16,11 +18,10 @@ from pyspark.sql import functions as F
 
 from .skew import salted_join
 
-# Groups up to this many rows are ranked whole; beyond it only brackets are.
-HOT_GROUP_ROWS = 100_000
-SKETCH_ACCURACY = 10_000
-# Half-width of a bracket in rank fraction; ten times the sketch's error bound.
-BRACKET = 0.001
+# Ranges of the first round and accuracy of the sketch that cuts them; ranges of the second.
+DEPTHS = 64
+SKETCH_ACCURACY = 1_000
+EVEN_RANGES = 1 << 16
 
 
 def linear(p: float) -> Callable[[Column], Column]:
@@ -40,6 +41,27 @@ def conformal(coverage: float) -> Callable[[Column], Column]:
     return position
 
 
+def _opened(counted: DataFrame, facts: DataFrame, by: list[str], range_of: Column) -> DataFrame:
+    """One round: ``facts`` (by, _n, _asked) with the bounds of the ranges that hold the wanted ranks.
+
+    An entry of ``_asked`` is a rank, its rest inside the values from lo to hi, and these two; null bounds stand for
+    the whole group. Values of one opened range are counted by ``range_of`` (of `_v`, `_lo`, `_hi` and what ``facts``
+    has besides), and the running count finds the range to open next.
+    """
+    v = F.col("_v")
+    around = F.filter("_asked", lambda a: a["lo"].isNull() | ((v >= a["lo"]) & (v <= a["hi"])))
+    held = salted_join(counted, facts, by).withColumn("_here", around).where(F.size("_here") > 0)
+    ranged = held.withColumns({"_lo": F.get("_here", F.lit(0))["lo"], "_hi": F.get("_here", F.lit(0))["hi"]}).withColumn("_range", range_of)
+    at = [*by, "_n", "_here"]
+    found = ranged.groupBy(*at, "_range").agg(F.sum("_c").alias("_in"), F.min("_v").alias("_to_lo"), F.max("_v").alias("_to_hi"))
+    order = Window.partitionBy(*at).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = found.withColumn("_before", F.coalesce(F.sum("_in").over(order), F.lit(0)))
+    hit = F.filter("_here", lambda a: (a["rest"] >= F.col("_before")) & (a["rest"] < F.col("_before") + F.col("_in")))
+    asked = F.transform(hit, lambda a: F.struct(
+        a["rank"].alias("rank"), (a["rest"] - F.col("_before")).alias("rest"), F.col("_to_lo").alias("lo"), F.col("_to_hi").alias("hi")))
+    return placed.groupBy(*by, "_n").agg(F.flatten(F.collect_list(asked)).alias("_asked"))  # two entries for each quantile
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: list[str],
@@ -48,81 +70,46 @@ def exact_quantiles(
     *,
     position: Callable[[float], Callable[[Column], Column]] = linear,
     count_as: str | None = None,
-    hot_group_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """One row per key with an exact quantile column for each ``name: probability``.
 
-    NULL values are ignored; a group with only NULLs yields no row.
+    NULL values are ignored; a group with only NULLs yields no row. Without keys the result is one row, or none.
     """
     whole = not keys
     by = ["_all"] if whole else list(keys)
     rows = df.withColumn("_all", F.lit(1)) if whole else df
-    rows = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
-
-    cuts: list[float] = []
-    spans: dict[str, tuple[int | None, int | None]] = {}
-    for name, p in quantiles.items():
-        low = high = None
-        if p - BRACKET > 0:
-            low, cuts = len(cuts), [*cuts, p - BRACKET]
-        if p + BRACKET < 1:
-            high, cuts = len(cuts), [*cuts, p + BRACKET]
-        spans[name] = (low, high)
-    sketch = F.percentile_approx("_v", cuts or [0.5], SKETCH_ACCURACY)
-    stats = rows.groupBy(*by).agg(F.count("_v").alias("_n"), sketch.alias("_cut"))
-
-    # Copies of one value collapse before the join, which spreads a hot key over tasks.
-    counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    if whole:
-        joined = counted.join(F.broadcast(stats), by)  # stats is a single row
-    else:
-        joined = salted_join(counted, stats, by)
-
-    v, cut = F.col("_v"), F.col("_cut")
-    inside = F.lit(False)
-    for low, high in spans.values():
-        span = F.lit(True)
-        if low is not None:
-            span = span & (v >= cut[low])
-        if high is not None:
-            span = span & (v <= cut[high])
-        inside = inside | span
-    ranked = (F.col("_n") <= hot_group_rows) | inside
-    below = [F.when(cut[i] <= v, cut[i]) for i in range(len(cuts))]
-    anchor = F.greatest(*below) if len(below) > 1 else (below or [F.lit(None).cast("double")])[0]
-    histogram = (
-        joined.select(
-            *by, "_n", "_c",
-            F.when(ranked, v).otherwise(anchor).alias("_key"),
-            F.when(ranked, 0).otherwise(1).alias("_folded"),
-        )
-        .groupBy(*by, "_n", "_key", "_folded")
-        .agg(F.sum("_c").alias("_c"))
-    )
-    order = (
-        Window.partitionBy(*by)
-        .orderBy(F.col("_key").asc_nulls_first(), "_folded")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    upto = histogram.withColumn("_upto", F.sum("_c").over(order))
-
+    rows = rows.select(*by, F.col(value).cast("double").alias("_v"))
+    for key in by:  # a null key is a group of its own
+        rows = rows.withColumn(key, F.struct(F.col(key)))
+    counted = rows.where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    depths = [i / DEPTHS for i in range(1, DEPTHS)]
+    stats = counted.groupBy(*by).agg(
+        F.sum("_c").alias("_n"), F.percentile_approx("_v", depths, SKETCH_ACCURACY).alias("_cuts"))
+
+    places = [position(p)(F.col("_n")) for p in quantiles.values()]
+    ends = [end(at).cast("long") for at in places for end in (F.floor, F.ceil)]
+    unknown = F.lit(None).cast("double")
+    whole_group = F.transform(F.array_distinct(F.array(*ends)), lambda r: F.struct(
+        r.alias("rank"), r.alias("rest"), unknown.alias("lo"), unknown.alias("hi")))
+
+    half = lambda c: F.col(c) / 2  # noqa: E731  so that no difference overflows
+    share = F.try_divide(half("_v") - half("_lo"), half("_hi") - half("_lo"))
+    deep = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    even = F.floor(F.nanvl(F.coalesce(share, F.lit(0.0)), F.lit(1.0)) * (EVEN_RANGES - 1))
+    facts = _opened(counted, stats.withColumn("_asked", whole_group), by, deep)
+    facts = _opened(counted, facts, by, even)
+    facts = _opened(counted, facts, by, F.col("_v"))
+
+    # The last round's ranges are single values.
+    entries = F.transform("_asked", lambda a: F.struct(a["rank"], a["lo"]))
+    found = facts.withColumn("_found", F.map_from_entries(entries))
     outputs: list[Column] = []
-    picks: list[Column] = [F.max("_n").alias("_n")]
-    for i, (name, p) in enumerate(quantiles.items()):
-        at = position(p)(F.col("_n"))
-        real = F.col("_folded") == 0
-        ends = []
-        for end, rank in (("_l", F.floor(at)), ("_h", F.ceil(at))):
-            name_ = f"{end}{i}"
-            picks.append(F.min(F.when(real & (F.col("_upto") > rank), F.struct("_key", (F.col("_upto") - F.col("_c")).alias("before")))).alias(name_))
-            missed = F.coalesce(F.col(f"{name_}.before") > rank, F.lit(True))
-            ends.append(F.when(missed, F.raise_error(F.lit(f"{value}: the rank of {name} lies outside its bracket")).cast("double")).otherwise(F.col(f"{name_}._key")))
-        low, high = ends
-        outputs.append((low + (high - low) * (at - F.floor(at))).alias(name))
+    for name, at_ in zip(quantiles, places, strict=True):
+        low, high = (F.element_at("_found", end(at_).cast("long")) for end in (F.floor, F.ceil))
+        outputs.append((low + (high - low) * (at_ - F.floor(at_))).alias(name))
     if count_as:
         outputs.append(F.col("_n").alias(count_as))
-    result = upto.groupBy(*by).agg(*picks)
-    return result.select(*([] if whole else by), *outputs)
+    return found.select(*([] if whole else [F.col(k)[k].alias(k) for k in by]), *outputs)
 
 
 def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

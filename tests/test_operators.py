@@ -4,7 +4,7 @@ from conftest import one, rows
 from pyspark.sql import functions as F
 
 from cropgrid.functions.geo import centroid, haversine_km
-from cropgrid.operators import merge, metrics, neighbours
+from cropgrid.operators import merge, metrics, neighbours, quantiles
 from cropgrid.operators.quantiles import conformal, exact_medians, exact_quantiles
 
 
@@ -17,6 +17,8 @@ def _km(a, b):
 def _cloud(kind, n, rng):
     if kind == "uniform":
         return np.column_stack([rng.uniform(-89, 89, n), rng.uniform(-180, 180, n)])
+    if kind == "poles":
+        return np.column_stack([rng.choice([-1, 1], n) * (90 - rng.uniform(0, 3, n) ** 2), rng.uniform(-180, 180, n)])
     if kind == "dense":  # a third of all points in one place, far from the rest
         k = n // 3
         near = np.column_stack([rng.normal(10, 1e-3, k), rng.normal(20, 1e-3, k)])
@@ -24,11 +26,12 @@ def _cloud(kind, n, rng):
     return np.column_stack([rng.uniform(-80, 80, n), rng.choice([-179.99, 179.99, 179.5], n) + rng.uniform(-1e-3, 1e-3, n)])
 
 
-@pytest.mark.parametrize("kind", ["uniform", "dense", "date_line"])
+@pytest.mark.parametrize("kind", ["uniform", "dense", "date_line", "poles"])
 @pytest.mark.parametrize("farthest", [False, True])
 def test_neighbours_equal_brute_force(spark, kind, farthest):
     rng = np.random.default_rng(7)
-    points, targets = _cloud("uniform", 120, rng), np.round(_cloud(kind, 400, rng), 9)
+    points, targets = np.vstack([_cloud("uniform", 120, rng), _cloud(kind, 60, rng)]), np.round(_cloud(kind, 400, rng), 9)
+    points = np.vstack([points, [[90.0, 0.0], [-90.0, 10.0], [0.0, 180.0], [0.0, -180.0], [89.9, 179.9]]])
     p = spark.createDataFrame([(0, float(a), float(b)) for a, b in points], "g int, lat double, lon double")
     t = spark.createDataFrame([(0, i, float(a), float(b)) for i, (a, b) in enumerate(targets)], "g int, k int, tlat double, tlon double")
     got = rows(neighbours.extreme_neighbours(
@@ -48,6 +51,20 @@ def test_neighbours_groups_ties_and_copies(spark):
     assert sorted((r["g"], r["k"]) for r in got) == [(1, "a"), (2, "z")]
 
 
+def test_neighbours_run_no_job_before_the_action(spark):
+    tracker, group = spark.sparkContext.statusTracker(), "neighbours-build"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        p = spark.range(50).selectExpr("cast(id as double) as a", "cast(id * 3 as double) as b")
+        found = neighbours.extreme_neighbours(
+            p, p.selectExpr("1 as g", "a as c", "b as d", "a as k"), by=["g"], every_group=True,
+            point_coordinates=("a", "b"), target_coordinates=("c", "d"), target_key="k")
+        assert not tracker.getJobIdsForGroup(group)
+        assert found.where("distance_km = 0 and k = a").count() == 50
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_axis_ties_go_up(spark):
     p = spark.createDataFrame([(0.5,), (0.49,), (-9.0,), (9.0,)], "v double")
     axis = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (1.0,)], "a double")
@@ -55,19 +72,46 @@ def test_axis_ties_go_up(spark):
     assert got == {0.5: 1.0, 0.49: 0.0, -9.0: 0.0, 9.0: 2.0}
 
 
-@pytest.mark.parametrize("hot", [100_000, 50])
-def test_quantiles_equal_numpy(spark, hot):
+@pytest.mark.parametrize("ranges", [(64, 1 << 16), (2, 3)])
+def test_quantiles_equal_numpy(spark, monkeypatch, ranges):
+    """Whatever the number of ranges; small ones open every range that a rank falls into."""
+    monkeypatch.setattr(quantiles, "DEPTHS", ranges[0])
+    monkeypatch.setattr(quantiles, "EVEN_RANGES", ranges[1])
     rng = np.random.default_rng(3)
-    data = {"a": rng.normal(0, 1, 3000), "b": np.repeat(5.0, 400), "c": np.array([1.0, 2.0]), "d": rng.choice([1.0, 2.0, 3.0], 900)}
-    df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None), ("e", None)], "k string, v double")
+    data = {
+        "a": rng.normal(0, 1, 3000), "b": np.repeat(5.0, 400), "c": np.array([1.0, 2.0]), "d": rng.choice([1.0, 2.0, 3.0], 900),
+        "outliers": np.r_[rng.uniform(1, 2, 700), 1e300, -1e300, 1e18, 5e-324], "steep": 2.0 ** np.arange(-500, 500), "one": np.array([7.5]),
+        "skewed": np.r_[np.zeros(2000), rng.lognormal(0, 4, 999)], "close": np.nextafter(1.0, 2.0) ** np.arange(50), None: np.array([3.0, 4.0, 8.0]),
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None), ("e", None)], "k string, v double").repartition(6)
     probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p51": 0.5005, "p99": 0.99, "p100": 1.0}
-    got = {r["k"]: r for r in rows(exact_quantiles(df, ["k"], "v", probs, count_as="n", hot_group_rows=hot))}
+    got = {r["k"]: r for r in rows(exact_quantiles(df, ["k"], "v", probs, count_as="n"))}
     assert set(got) == set(data)
     for k, vs in data.items():
         assert got[k]["n"] == len(vs)
         np.testing.assert_allclose([got[k][n] for n in probs], np.quantile(vs, list(probs.values())), rtol=1e-12)
-    whole = one(exact_quantiles(df, [], "v", {"m": 0.5}, hot_group_rows=hot))
+    whole = one(exact_quantiles(df, [], "v", {"m": 0.5}))
     assert whole["m"] == pytest.approx(np.median(np.concatenate(list(data.values()))))
+    assert rows(exact_quantiles(df.limit(0), ["k"], "v", probs)) == [] == rows(exact_quantiles(df.limit(0), [], "v", probs))
+
+
+def test_quantiles_of_a_large_group_open_few_values(spark, monkeypatch):
+    """Each round opens a small part of what the one before did, though one group has nearly all rows."""
+    values = np.arange(400_000.0)
+    df = spark.range(len(values)).select(F.when(F.col("id") % 50 == 0, F.lit("small")).otherwise("hot").alias("k"), (F.col("id") * 1.0).alias("v"))
+    most, opened = [], quantiles._opened
+
+    def watched(counted, facts, by, range_of):
+        after = opened(counted, facts, by, range_of)
+        inside = counted.join(facts, by).withColumn("a", F.explode("_asked")).where("a.lo is null or _v between a.lo and a.hi")
+        most.append(inside.groupBy(*by, "a").count().agg(F.max("count")).first()[0])
+        return after
+
+    monkeypatch.setattr(quantiles, "_opened", watched)
+    got = {r["k"]: r for r in rows(exact_quantiles(df, ["k"], "v", {"p50": 0.5, "p999": 0.999}))}
+    for k, vs in (("small", values[::50]), ("hot", np.delete(values, np.arange(0, len(values), 50)))):
+        np.testing.assert_allclose([got[k]["p50"], got[k]["p999"]], np.quantile(vs, [0.5, 0.999]), rtol=1e-12)
+    assert most[0] == len(values) - len(values) // 50 and most[1] <= 3 * most[0] / quantiles.DEPTHS and most[2] <= 4
 
 
 @pytest.mark.parametrize("n", [1, 4, 9, 10, 57, 500])
@@ -161,14 +205,3 @@ def test_intervals(spark):
     row = one(metrics.evaluate_intervals(df, "p", calibration_year=2020, coverage=0.8))
     assert row["radius"] == 9.0 and row["calibration_rows"] == 10 and row["empirical_coverage"] == 0.5
     assert row["mean_interval_width"] == pytest.approx((18 + 11) / 2)
-
-
-def test_a_missed_bracket_is_an_error(spark, monkeypatch):
-    from cropgrid.operators import quantiles
-
-    df = spark.range(2000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("v"))
-    found = quantiles.exact_quantiles(df, ["k"], "v", {"p50": 0.5}, hot_group_rows=0)
-    assert one(found)["p50"] == 999.5
-    monkeypatch.setattr(quantiles, "BRACKET", -0.2)  # an empty bracket
-    with pytest.raises(Exception, match="outside its bracket"):
-        quantiles.exact_quantiles(df, ["k"], "v", {"p50": 0.5}, hot_group_rows=0).collect()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from cropgrid.operators import merge
 from cropgrid.operators.neighbours import nearest_on_axis
 from cropgrid.plans import audit, climate, reanalysis, station
-from cropgrid.session import cut_lineage
 
 from .sqltext import adequate, hav, joined, n, r, rs
 from .views import plain, read, view, with_views
@@ -353,20 +352,21 @@ select {n('season_year')}, {n('lat_tile')}, {n('lon_tile')}, codigo_ibge from ti
 
 
 def _states(spark, sf_dir):
-    """Fetch states of some keys, as the backfill would have left them."""
+    """Fetch states of all keys of the grid, as a backfill that is half done would have left them."""
     s = _grid(spark, sf_dir)
     k = F.col("codigo_ibge").cast("long") + F.col("season_year")
-    status = F.when(k % 11 == 0, "error").when(k % 3 == 0, "unavailable").otherwise("available")
-    return s.where(k % 2 == 0).select(
+    status = F.when(k % 2 == 1, "queued").when(k % 11 == 0, "error").when(k % 3 == 0, "unavailable").otherwise("available")
+    return s.select(
         "codigo_ibge", "season_year", status.alias("status"), "quality_flag",
-        F.when(k % 11 != 0, F.concat_ws("-", "codigo_ibge", "season_year")).alias("artifact"),
+        F.when((k % 2 == 0) & (k % 11 != 0), F.concat_ws("-", "codigo_ibge", "season_year")).alias("artifact"),
     )
 
 
 _k = "(cast(codigo_ibge as bigint) + season_year)"
 STATES = f"""
-select codigo_ibge, season_year, case when {_k} % 11 = 0 then 'error' when {_k} % 3 = 0 then 'unavailable' else 'available' end as status,
-  quality_flag, case when {_k} % 11 <> 0 then codigo_ibge || '-' || season_year end as artifact from grid_climate where {_k} % 2 = 0"""
+select codigo_ibge, season_year, case when {_k} % 2 = 1 then 'queued' when {_k} % 11 = 0 then 'error' when {_k} % 3 = 0 then 'unavailable'
+  else 'available' end as status, quality_flag,
+  case when {_k} % 2 = 0 and {_k} % 11 <> 0 then codigo_ibge || '-' || season_year end as artifact from grid_climate"""
 
 
 def backfill_selection(spark, sf_dir):
@@ -418,36 +418,64 @@ select m.codigo_ibge, {n('m.season_year', 'season_year')}, m.quality_flag, s.qua
   on m.codigo_ibge = s.codigo_ibge and m.season_year = s.season_year where not {adequate('m.')}""", merged=MERGED, states=STATES)
 
 
+# What is done to rows of the merged table, by their key; both engines run these expressions.
+_mark = "(cast(codigo_ibge as bigint) + season_year) % 41"
+_era5 = "Copernicus ERA5-Land reanalysis"
+TAMPERING = {
+    "rain_crop_cycle_mm": f"case when {_mark} = 1 then -1e0 else rain_crop_cycle_mm end",
+    "season_coverage": f"case when {_mark} = 2 then 1e-1 else season_coverage end",
+    "data_nature": f"case when {_mark} = 3 then 'observed' else data_nature end",
+    "station_code": f"case when {_mark} = 4 then 'X' else station_code end",
+    "distance_to_grid_km": f"case when {_mark} = 5 then 99e0 else distance_to_grid_km end",
+    "checksum": f"case when {_mark} = 6 then null else checksum end",
+    "source": f"case when {_mark} = 7 then 'another archive' when {_mark} = 8 then '{_era5}' else source end",
+    "codigo_ibge": f"case when {_mark} = 9 then null else codigo_ibge end",
+}
+DOUBLED, DROPPED = f"{_mark} = 10", f"{_mark} = 11"
+
+
 def climate_audit(spark, sf_dir):
-    """Audit of a merged table whose later seasons were tampered with."""
-    checks = lambda df: df.withColumn("source_checksums", F.array("checksum")).drop("checksum")
-    base, grid = (cut_lineage(checks(f(spark, sf_dir))) for f in (_station, _grid))
-    k = F.col("codigo_ibge").cast("long")
-    bad = cut_lineage(merge.fall_back_whole_rows(base, grid, merge.CLIMATE_KEY, merge.adequate_climate(0.7)).withColumn(
-        "rain_crop_cycle_mm", F.when((F.col("season_year") == 2001) & (k % 40 == 1), F.lit(-1.0)).otherwise(F.col("rain_crop_cycle_mm"))
-    ).where((F.col("season_year") != 1999) | (k % 50 != 1)))
-    return plain(audit.climate_audit(base, bad, grid, expected_rows=1000))
-
-
-TAMPERED = """
-select m.* replace (case when season_year = 2001 and cast(codigo_ibge as bigint) % 40 = 1 then -1.0 else rain_crop_cycle_mm end as rain_crop_cycle_mm)
-from merged m where season_year <> 1999 or cast(codigo_ibge as bigint) % 50 <> 1"""
-_lost = "(season_year = 1999 and cast(codigo_ibge as bigint) % 50 = 1)"
-_hurt = "(season_year = 2001 and cast(codigo_ibge as bigint) % 40 = 1)"
-_isgrid = "source = 'Copernicus ERA5-Land reanalysis'"
+    """Audit of a merged table in which every rule is broken somewhere."""
+    listed = lambda df: df.withColumn("source_checksums", F.array_compact(F.array("checksum"))).drop("checksum")
+    base, grid = _station(spark, sf_dir), _grid(spark, sf_dir)
+    rows = merge.fall_back_whole_rows(base, grid, merge.CLIMATE_KEY, merge.adequate_climate(0.7)).where(f"not ({DROPPED})")
+    rows = rows.withColumn("_copies", F.expr(f"sequence(1, case when {DOUBLED} then 2 else 1 end)"))
+    changed = [F.expr(TAMPERING.get(c, c)).alias(c) for c in rows.columns if c != "_copies"]
+    bad = rows.select(*changed, F.explode("_copies").alias("_copy")).drop("_copy")
+    return plain(audit.climate_audit(listed(base), listed(bad), listed(grid), expected_rows=1000))
+
+
+TAMPERED = f"""
+select {", ".join(f"{TAMPERING.get(c, c)} as {c}" for c in ["codigo_ibge", "season_year", *_COLUMNS, "distance_to_grid_km"])}
+from (select * from merged where not ({DROPPED}) union all select * from merged where {DOUBLED})"""
+_isgrid = f"source = '{_era5}'"
+_pair = lambda t: f"{t}.codigo_ibge = b.codigo_ibge and {t}.season_year = b.season_year"
+_alike = lambda left, right, columns: " and ".join(f"{left}.{c} is not distinct from {right}.{c}" for c in columns)
+_kept = ["codigo_ibge", "season_year", *_COLUMNS]
+_sided = ", ".join([*_kept, "distance_to_grid_km"])
+_used = f"select {_sided} from tampered where {_isgrid}"
+_offered = f"select {_sided} from grid_climate b where exists (select 1 from tampered t where {_pair('t')} and t.{_isgrid})"
 _checks = {
-    "non_null_keys": "select 0", "unique_keys": "select 0",
-    "same_key_universe": f"select count(*) from station_climate where {_lost}",
-    "adequate_inmet_unchanged": f"select count(*) from station_climate where {_hurt} and {adequate()} and rain_crop_cycle_mm <> -1",
-    "era5_only_replaces_baseline_gaps": "select 0", "known_climate_source": "select 0",
+    "non_null_keys": "select count(*) from tampered where codigo_ibge is null",
+    "unique_keys": "select count(*) from (select codigo_ibge, season_year from tampered where codigo_ibge is not null group by all having count(*) > 1)",
+    "same_key_universe": f"select count(*) from station_climate b where not exists (select 1 from tampered t where {_pair('t')})",
+    "adequate_inmet_unchanged": f"""select count(*) from station_climate b where {adequate('b.')} and
+        ((select count(*) from tampered t where {_pair('t')}) <> 1 or not exists (select 1 from tampered t where {_alike('t', 'b', _kept)}))""",
+    "era5_only_replaces_baseline_gaps": f"""select count(*) from (select distinct codigo_ibge, season_year from tampered where {_isgrid}) t
+        join station_climate b on {_pair('t')} where {adequate('b.')}""",
+    "known_climate_source": f"select count(*) from tampered where not {_isgrid} and source not in (select source from station_climate)",
     "era5_adequate_coverage": f"select count(*) from tampered where {_isgrid} and not {adequate()}",
-    "era5_estimated": "select 0", "era5_no_station_claim": "select 0",
-    "era5_grid_distance": f"select count(*) from tampered where {_isgrid} and not distance_to_grid_km between 0 and 20",
-    "era5_nonnegative_rain": f"select count(*) from tampered where {_isgrid} and rain_crop_cycle_mm < 0",
-    "era5_source_checksums_present": "select 0",
+    "era5_estimated": f"select count(*) from tampered where {_isgrid} and data_nature <> 'estimated'",
+    "era5_no_station_claim": f"""select count(*) from tampered where {_isgrid} and (station_code is not null or station_name is not null
+        or station_uf is not null or distance_to_station_km is not null)""",
+    "era5_grid_distance": f"select count(*) from tampered where {_isgrid} and not coalesce(distance_to_grid_km between 0 and 20, false)",
+    "era5_nonnegative_rain": f"select count(*) from tampered where {_isgrid} and not coalesce(isfinite(rain_crop_cycle_mm) and rain_crop_cycle_mm >= 0, false)",
+    "era5_source_checksums_present": f"select count(*) from tampered where {_isgrid} and checksum is null",
     "baseline_expected_rows": "select abs(count(*) - 1000) from station_climate",
     "combined_expected_rows": "select abs(count(*) - 1000) from tampered",
-    "era5_gold_matches_fallback": f"select 2 * count(*) from tampered where {_isgrid} and {_hurt}",
+    "era5_gold_matches_fallback": f"""select (select count(*) from ({_used} and codigo_ibge is not null except all {_offered}))
+        + (select count(*) from ({_offered} except all {_used})) + (select count(*) from tampered where {_isgrid} and codigo_ibge is null)""",
+    "required_columns": "select 0", "inmet_original_columns_preserved": "select 0", "era5_provenance_columns": "select 0",
 }
 AUDIT_SQL = with_views(" union all ".join(
     f"select '{c}' as check_name, cast(({q}) as bigint) as failing_rows" for c, q in _checks.items()

@@ -106,11 +106,16 @@ def fall_back_whole_rows(primary: DataFrame, secondary: DataFrame, key: list[str
 
 
 def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows present more often on one side than on the other; empty means equal tables."""
-    right = right.select(*left.columns)
-    return left.exceptAll(right).withColumn("_side", F.lit("left_only")).unionByName(
-        right.exceptAll(left).withColumn("_side", F.lit("right_only"))
-    )
+    """Rows present more often on one side than on the other, once for each copy in excess; empty means equal tables.
+
+    Copies of the left count up and those of the right count down in one aggregate over all columns, so each side is read once
+    and copies meet before the shuffle.
+    """
+    columns = left.columns
+    both = left.withColumn("_sign", F.lit(1)).unionByName(right.select(*columns).withColumn("_sign", F.lit(-1)))
+    sums = both.groupBy(*columns).agg(F.sum("_sign").alias("_sum")).where("_sum <> 0")
+    side = F.when(F.col("_sum") > 0, F.lit("left_only")).otherwise(F.lit("right_only"))
+    return sums.select(*columns, side.alias("_side"), F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_sum"))).alias("_copy")).drop("_copy")
 
 
 def budgeted(pending: DataFrame, cached: Column, order: list[Column], budget: int) -> DataFrame:

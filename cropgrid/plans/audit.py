@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite
-from ..operators.merge import CLIMATE_KEY, adequate_climate, differing_rows
+from ..operators.merge import CLIMATE_KEY, adequate_climate
 from ..operators.quality import set_difference
+from ..sources.writers import fingerprint, latest_manifests
 
 # Reanalysis sources, station columns and the published layout of the grid store.
 REANALYSIS_SOURCES = ("Copernicus ERA5-Land reanalysis", "Copernicus ERA5-Land ARCO reanalysis")
@@ -68,8 +69,20 @@ def dataset_rows(tables: dict[str, DataFrame | None]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def _failing(df: DataFrame, check: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("failing_rows")).select(F.lit(check).alias("check_name"), "failing_rows")
+# Columns that the audit reads of every climate table and of its reanalysis rows.
+REQUIRED = [*CLIMATE_KEY, "rain_crop_cycle_mm", "mean_temp_c", "season_coverage", "source", "quality_flag"]
+GRID_PROVENANCE = [*STATION_COLUMNS, "distance_to_grid_km", "data_nature", "source_checksums"]
+
+
+def climate_columns(baseline: DataFrame, combined: DataFrame, fallback: DataFrame | None) -> dict[str, int]:
+    """Columns that are absent, by check; read from the schemas alone."""
+    tables = [t for t in (baseline, combined, fallback) if t is not None]
+    absent = lambda wanted, table: sum(c not in table.columns for c in wanted)
+    return {
+        "required_columns": sum(absent(REQUIRED, t) for t in tables),
+        "inmet_original_columns_preserved": absent(baseline.columns, combined),
+        "era5_provenance_columns": absent(GRID_PROVENANCE, combined),
+    }
 
 
 def climate_audit(
@@ -78,32 +91,21 @@ def climate_audit(
 ) -> DataFrame:
     """``check_name, failing_rows`` for every consistency rule of the merged climate table.
 
-    Rules on single rows share one pass; rules between tables share one join on the key.
+    The tables meet in one aggregate by key that feeds all counters, so each is read once (and the baseline's source names
+    once more). Rules between tables count keys, those on single rows and on null keys count rows, those on columns count
+    absent columns. If columns are absent, only these are reported.
     """
+    columns = climate_columns(baseline, combined, fallback)
+    names = combined.sparkSession.range(1)
+    listed = lambda df: df.unpivot([], df.columns, "check_name", "failing_rows")
+    if any(columns.values()):
+        return listed(names.select(*[F.lit(n).cast("long").alias(c) for c, n in columns.items()]))
+
     ok = adequate_climate(minimum_coverage)
     reanalysis = F.coalesce(F.col("source").isin(*REANALYSIS_SOURCES), F.lit(False))
-    shared = [c for c in baseline.columns if c in combined.columns]
-    digest = lambda cols: F.xxhash64(*[F.col(c) for c in cols])
-
-    side = lambda df, name, extra: df.groupBy(*CLIMATE_KEY).agg(
-        F.count(F.lit(1)).alias(f"{name}_n"), F.max(digest(shared)).alias(f"{name}_h"),
-        F.max(ok).alias(f"{name}_ok"), *extra,
-    )
-    b = side(baseline, "b", [])
-    c = side(combined, "c", [F.max(reanalysis).alias("c_re")])
-    both = b.join(c, CLIMATE_KEY, "full")
-    has_b, has_c, filled = F.col("b_n").isNotNull(), F.col("c_n").isNotNull(), F.coalesce("c_re", F.lit(False))
-    between = {
-        "non_null_keys": F.greatest(*[F.col(k).isNull().cast("int") for k in CLIMATE_KEY]) == 1,
-        "unique_keys": (F.coalesce("b_n", F.lit(0)) > 1) | (F.coalesce("c_n", F.lit(0)) > 1),
-        "same_key_universe": ~has_b | ~has_c,
-        "adequate_inmet_unchanged": F.coalesce(F.col("b_ok"), F.lit(False)) & has_c & (F.col("b_h") != F.col("c_h")),
-        "era5_only_replaces_baseline_gaps": filled & (~has_b | F.col("b_ok")),
-    }
-    known = baseline.select(F.col("source").alias("source")).distinct().select("source", F.lit(True).alias("_known"))
-    rows = combined.join(F.broadcast(known), "source", "left")  # one row per source name
     inside = is_finite("distance_to_grid_km") & F.col("distance_to_grid_km").between(0, max_grid_km)
     claims = reduce(lambda x, y: x | y, [F.col(s).isNotNull() for s in STATION_COLUMNS])
+    known = baseline.select("source").distinct().withColumn("_known", F.lit(True))
     single = {
         "known_climate_source": ~reanalysis & F.col("_known").isNull(),
         "era5_adequate_coverage": reanalysis & ~ok,
@@ -113,20 +115,69 @@ def climate_audit(
         "era5_nonnegative_rain": reanalysis & ~(is_finite("rain_crop_cycle_mm") & F.coalesce(F.col("rain_crop_cycle_mm") >= 0, F.lit(False))),
         "era5_source_checksums_present": reanalysis & ~F.coalesce(F.size("source_checksums") > 0, F.lit(False)),
     }
-    count = lambda tests: [F.count_if(t).alias(n) for n, t in tests.items()]
-    parts = [
-        both.agg(*count(between)).unpivot([], list(between), "check_name", "failing_rows"),
-        rows.agg(*count(single)).unpivot([], list(single), "check_name", "failing_rows"),
-    ]
+    digest = lambda cols: F.xxhash64(*[F.col(c) for c in cols])
+    offered = [c for c in fallback.columns if c in combined.columns] if fallback is not None else []
+    never, nothing = F.lit(False), F.lit(None).cast("long")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        main, is_combined = name != "fallback", name == "combined"
+        content = F.when(reanalysis, digest(offered)) if is_combined else digest(offered) if name == "fallback" else nothing
+        return df.select(
+            *CLIMATE_KEY, F.lit(name).alias("_side"), (digest(baseline.columns) if main else nothing).alias("_row"),
+            (content if offered else nothing).alias("_content"), (ok if main else never).alias("_ok"),
+            (reanalysis if is_combined else never).alias("_filled"),
+            *[(test if is_combined else never).alias(c) for c, test in single.items()],
+        )
+
+    sides = [side(baseline, "baseline"), side(combined.join(known, "source", "left"), "combined")]
+    if fallback is not None:
+        sides.append(side(fallback, "fallback"))
+    of = lambda name: F.col("_side") == name
+    # Copies meet first by content, so that a key with many rows is a few numbers for each content.
+    by_content = reduce(DataFrame.unionByName, sides).groupBy(*CLIMATE_KEY, "_content").agg(
+        F.count_if(of("baseline")).alias("_b"), F.count_if(of("combined")).alias("_c"), F.count_if(of("fallback")).alias("_f"),
+        F.count_if("_filled").alias("_used"), F.max(F.when(of("baseline"), F.col("_ok"))).alias("_b_ok"),
+        *[f(F.when(of(name), F.col("_row"))).alias(f"_{name[0]}_{f.__name__}") for name in ("baseline", "combined") for f in (F.min, F.max)],
+        *[F.count_if(c).alias(c) for c in single],
+    )
+    per_key = by_content.groupBy(*CLIMATE_KEY).agg(
+        *[F.sum(c).alias(c) for c in ("_b", "_c", "_f", "_used", *single)], F.max("_b_ok").alias("_b_ok"),
+        *[f(f"_{x}_{f.__name__}").alias(f"_{x}_{f.__name__}") for x in "bc" for f in (F.min, F.max)],
+        F.sum(F.abs(F.col("_f") - F.col("_used"))).alias("_apart"),
+    )
+    keyed = ~F.greatest(*[F.col(k).isNull() for k in CLIMATE_KEY], F.lit(False))
+    has_b, has_c, good = F.col("_b") > 0, F.col("_c") > 0, F.coalesce("_b_ok", F.lit(False))
+    kept = (F.col("_b") == F.col("_c")) & F.col("_b_min").eqNullSafe(F.col("_c_min")) & F.col("_b_max").eqNullSafe(F.col("_c_max"))
+    between = {
+        "unique_keys": (F.col("_b") > 1) | (F.col("_c") > 1),
+        "same_key_universe": (has_b | has_c) & ~(has_b & has_c),
+        "adequate_inmet_unchanged": good & ~kept,
+        "era5_only_replaces_baseline_gaps": (F.col("_used") > 0) & (~has_b | good),
+    }
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    counters = {"non_null_keys": total(F.when(~keyed, F.col("_b") + F.col("_c")))}
+    counters |= {c: F.count_if(keyed & test) for c, test in between.items()}
+    counters |= {c: total(c) for c in single}
     if expected_rows is not None:
-        gap = F.abs(F.count(F.lit(1)) - expected_rows).alias("failing_rows")
-        for name, df in (("baseline_expected_rows", baseline), ("combined_expected_rows", combined)):
-            parts.append(df.agg(gap).select(F.lit(name).alias("check_name"), "failing_rows"))
+        counters |= {f"{t}_expected_rows": F.abs(total(f"_{t[0]}") - expected_rows) for t in ("baseline", "combined")}
     if fallback is not None:
-        columns = [c for c in fallback.columns if c in combined.columns]
-        used = combined.where(reanalysis).select(*columns)
-        offered = fallback.select(*columns).join(used.select(*CLIMATE_KEY), CLIMATE_KEY, "left_semi")
-        parts.append(_failing(differing_rows(offered.select(*columns), used), "era5_gold_matches_fallback"))
+        counters["era5_gold_matches_fallback"] = total(F.when(F.col("_used") > 0, F.col("_apart")))
+    else:
+        counters["era5_fallback_present"] = total("_used")
+    counters |= {c: F.lit(n).cast("long") for c, n in columns.items()}
+    return listed(per_key.agg(*[c.cast("long").alias(name) for name, c in counters.items()]))
+
+
+def manifest_audit(spark: SparkSession, root: str, datasets: list[str]) -> DataFrame:
+    """``dataset, problem`` of stored tables whose newest manifest is absent or does not tell the table's rows or fingerprint."""
+    found = {r["dataset"]: r for r in latest_manifests(spark, root).where(F.col("dataset").isin(*datasets)).collect()}  # one row a name
+    parts = [spark.createDataFrame([(d, "manifest_missing") for d in datasets if d not in found], "dataset string, problem string")]
+    for name, told in found.items():
+        now = fingerprint(spark.read.parquet(told["path"]))
+        wrong = F.array_compact(F.array(
+            F.when(F.col("rows") != told["rows"], F.lit("gold_manifest_row_count")),
+            F.when(F.col("fingerprint") != told["fingerprint"], F.lit("gold_manifest_checksum"))))
+        parts.append(now.select(F.lit(name).alias("dataset"), F.explode(wrong).alias("problem")))
     return reduce(DataFrame.unionByName, parts)
 
 

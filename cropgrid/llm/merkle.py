@@ -45,8 +45,8 @@ def leaf_of(fields: dict[str, Column]) -> Column:
     return digest(*[framed(value) for value in fields.values()])
 
 
-def levels(nodes: str, many: str) -> list[Column]:
-    """SQL for the block's levels above `l0`, one string each."""
+def levels() -> list[Column]:
+    """The block's levels above `l0`, one string each."""
     def above(j: int) -> Column:
         runs = f"cast(ceil(length(l{j - 1}) / {FAN * HEX}) as int)"
         return F.expr(f"array_join(transform(sequence(0, {runs} - 1), i -> sha2(substring(l{j - 1}, i * {FAN * HEX} + 1, {FAN * HEX}), 256)), '')")
@@ -61,7 +61,7 @@ def blocks_of(nodes: DataFrame) -> DataFrame:
     filled = nodes.groupBy("tree", F.floor(F.col("position") / BLOCK).alias("block")).agg(
         F.array_sort(F.collect_list(F.struct("position", "digest", "carried"))).alias("items"))
     held = filled.withColumn("l0", F.expr("array_join(transform(items, x -> x.digest), '')"))
-    for j, level in enumerate(levels("items", "many"), 1):
+    for j, level in enumerate(levels(), 1):
         held = held.withColumn(f"l{j}", level)
     several = filled.groupBy("tree").agg(F.max("block").alias("last")).where("last > 0")
     alone = F.expr(f"cast(filter(sequence(0, {DEPTH}), j -> length(element_at(array({', '.join(f'l{j}' for j in range(DEPTH + 1))}), j + 1)) = {HEX})[0] as int)")
@@ -86,14 +86,23 @@ def tops_of(tiers: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, [t.where("not many").select("tree", "top") for t in tiers])
 
 
-def own_path(at: str) -> Column:
-    """SQL for the path inside the block of the node with place `at`."""
-    def level(j: int) -> str:
-        place = f"cast(floor({at} / {FAN ** j}) as int)"
-        run = f"cast(floor({at} / {FAN ** (j + 1)}) as int)"
-        return (f"named_struct('before', substring(l{j}, {run} * {FAN * HEX} + 1, ({place} - {run} * {FAN}) * {HEX}),"
-                f" 'after', substring(l{j}, ({place} + 1) * {HEX} + 1, (({run} + 1) * {FAN} - {place} - 1) * {HEX}))")
-    return F.expr(f"slice(array({', '.join(level(j) for j in range(DEPTH))}), 1, height)")
+def flanks(level: str, at: str) -> str:
+    """SQL for the siblings of the node with place `at` of a level, in its run."""
+    run = f"cast(floor({at} / {FAN}) as int)"
+    return (f"named_struct('before', substring({level}, {run} * {FAN * HEX} + 1, ({at} - {run} * {FAN}) * {HEX}),"
+            f" 'after', substring({level}, ({at} + 1) * {HEX} + 1, (({run} + 1) * {FAN} - {at} - 1) * {HEX}))")
+
+
+def opened(tier: DataFrame) -> DataFrame:
+    """The nodes of a tier's blocks: `_item`, and `path` inside the block. A place in a long string is found by reading
+    up to it, so levels are cut for each run of nodes, and only the run's own string for each node."""
+    run = f"struct(substring(l0, r * {FAN * HEX} + 1, {FAN * HEX}) as nodes, slice(items, r * {FAN} + 1, {FAN}) as items)"
+    runs = tier.select("*", F.posexplode(F.expr(f"transform(sequence(0, cast(ceil(size(items) / {FAN}) as int) - 1), r -> {run})")).alias("_run", "_in"))
+    upper = [flanks(f"l{j}", f"cast(floor(_run / {FAN ** (j - 1)}) as int)") for j in range(1, DEPTH)]
+    path = F.expr(f"slice(array({', '.join(upper)}), 1, greatest(height - 1, 0))") if upper else F.array().cast(PATH)
+    kept = [c for c in runs.columns if c not in ("items", "_run", *(f"l{j}" for j in range(DEPTH + 1)))]
+    nodes = runs.withColumn("_above", path).select(*kept, "_above", F.posexplode("_in.items").alias("_at", "_item"))
+    return nodes.withColumn("path", F.expr(f"concat(slice(array({flanks('_in.nodes', '_at')}), 1, least(height, 1)), _above)"))
 
 
 def paths(tiers: list[DataFrame], finished: DataFrame, carried: list[str]) -> DataFrame:
@@ -106,9 +115,8 @@ def paths(tiers: list[DataFrame], finished: DataFrame, carried: list[str]) -> Da
         above = tier.where("not many").select("tree", "block").join(finished, "tree").select("tree", "block", F.col("path").alias("_up"), *carried)
         if below is not None:
             above = above.unionAll(below.select("tree", F.col("position").alias("block"), F.col("path").alias("_up"), *carried))
-        placed = tier.join(above, ["tree", "block"]).select("*", F.posexplode("items").alias("_at", "_item"))
-        below = placed.select(
-            "tree", "_item.position", "_item.digest", "_item.carried", *carried, F.concat(own_path("_at"), "_up").alias("path"))
+        below = opened(tier.join(above, ["tree", "block"])).select(
+            "tree", "_item.position", "_item.digest", "_item.carried", *carried, F.concat("path", "_up").alias("path"))
     return below
 
 
@@ -143,7 +151,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None, text: Column | Non
     changed = F.when(tampered, leaf_of(fields | {"text": text})).otherwise(leaf) if tampered is not None else leaf
     tree = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-"))  # the null source sorts first
     narrow = docs.select(tree.alias("tree"), F.col("doc_id"), leaf.alias("digest"), changed.alias("changed"))
-    placed = ranked(narrow, ["tree"], ["doc_id", "digest", "changed"])
+    placed = ranked(kept_table(narrow, "leaves"), ["tree"], ["doc_id", "digest", "changed"])
     leaves = placed.select("tree", "position", "digest", F.struct("doc_id", "changed").alias("carried"))
     return proofs(leaves).select("carried.doc_id", "position", F.col("digest").alias("leaf"), "carried.changed", "subroot", "root", "path")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from cropgrid.config import RANKING_PROFILES, ModelSettings, RiskSettings, Settings
@@ -10,6 +13,7 @@ from cropgrid.operators import metrics
 from cropgrid.operators.quantiles import exact_quantiles
 from cropgrid.plans import audit, decision, modelling, scenarios, training, zoning
 from cropgrid.plans.history import history_features
+from cropgrid.session import shared_folder
 
 from .climate_queries import MERGED, merged
 from .history_queries import CHECKSUM, COVERAGE, ELIGIBLE, HISTORY, WINDOWS, history_sql
@@ -511,6 +515,55 @@ def predicted_recommendations(spark, sf_dir):
     ), 3)
 
 
+PRED = f"""
+select codigo_ibge, greatest(greatest(yield_mean_5y, 0) - 900, 0) as p10, greatest(yield_mean_5y, 0) as p50, greatest(yield_mean_5y, 0) + 900 as p90,
+  ano as target, case when {LAG}rain_crop_cycle_mm is not null and contains({LAG}source, 'ERA5') then 'CLIMATE_SOURCE_NOT_IN_MODEL_TRAINING' end as unseen
+from inference where yield_mean_5y is not null"""
+MIXED_YIELDS = """
+select h.codigo_ibge, coalesce(p.p10, h.yield_p10) as yield_p10, coalesce(p.p50, h.yield_p50) as yield_p50, coalesce(p.p90, h.yield_p90) as yield_p90,
+  h.yield_sample_size, p.target, p.unseen from past_yields h left join pred p using (codigo_ibge)"""
+_years_off = lambda c, sep: f"len(list_filter(string_split({c}, '{sep}'), lambda y: try_cast(substr(y, 1, 4) as int) <> target)) > 0"
+PREDICTED_DECIDED = f"""
+select *, case when p_target is not null then 'predicted' else 'estimated' end as yield_type,
+  case when status = 'recommended' then [case when target is null then 'yield uses historical quantiles without a single forecast harvest year' end,
+    case when target is not null and {_years_off('cost_reference_periods', ',')} then 'cost reference years differ from the yield target year' end,
+    case when target is not null and {_years_off('price_reference_period', '/')} then 'price reference years differ from the yield target year' end,
+    case when target is not null and climate_reference_season <> target - 1 then 'climate reference does not match the model''s prior-season contract' end] end as found,
+  round_even((case when target is not null then 0.8 else least(yield_sample_size / 10, 1.0) end * 25 + coalesce(climate_confidence, 0) * 15
+    + cost_confidence * 20 + price_confidence * 20) , 2) as confidence
+from (select m.codigo_ibge, q.target as p_target, y.* exclude (codigo_ibge), c.* exclude (codigo_ibge), p.* exclude (codigo_ibge), k.* exclude (codigo_ibge),
+    g.* exclude (codigo_ibge), case when why is null then 'recommended' else 'unavailable' end as status, why
+  from (select m.codigo_ibge, case when y.codigo_ibge is null then 'INSUFFICIENT_HISTORY' when c.codigo_ibge is null then 'MISSING_COST_COVERAGE'
+      when p.codigo_ibge is null then 'MISSING_PRICE_COVERAGE' when not y.yield_p50 > 0 or not p.price_p50 > 0 or not c.cost_total > 0
+      or c.cost_total < c.cost_operational then 'INVALID_ECONOMICS' end as why
+    from municipalities m left join yields y using (codigo_ibge) left join cost c using (codigo_ibge) left join price p using (codigo_ibge)) m
+  left join pred q using (codigo_ibge) left join yields y using (codigo_ibge) left join cost c using (codigo_ibge) left join price p using (codigo_ibge)
+  left join risks k using (codigo_ibge) left join asked_climate g using (codigo_ibge))"""
+ASKED_CLIMATE = CLIMATE_NOW.replace("from merged\n", "from (select m.* from merged m left join pred p using (codigo_ibge) where p.target is null or m.season_year = p.target - 1)\n")
+_roi = "(yield_p50 * price_p50 - cost_total) / cost_total"
+_scores = {"return": _clamp(f"({_roi} + 0.5) / 1.5 * 100"), "risk": "probability_profit * 100", "agronomic": "50.0",
+           "speed": "(100 - (130 - 90) / 275 * 100)", "confidence": "confidence"}
+_text = lambda e: f"list_aggregate(list_filter({e}, lambda x: x is not null), 'string_agg', ',')"
+PREDICTED_RECOMMEND_SQL = with_views(f"""
+select codigo_ibge, profile, status, yield_type, case when status = 'recommended' then round({" + ".join(f"{_scores[c]} * w_{c}::double" for c in PARTS)}, 3) end as score,
+  coalesce({_text("""case when status <> 'recommended' then [why] else [unseen, nullif(climate_alerts, ''),
+    case when len(list_filter(found, lambda x: x is not null)) > 0 then 'TEMPORAL_MISMATCH' end, case when target is null then 'MODEL_NOT_AVAILABLE' end,
+    case when coalesce(climate_status, 'not_available') = 'not_available' then 'MISSING_CLIMATE' end,
+    case when climate_quality_flag = 'NO_NEARBY_INMET_STATION' then 'NO_NEARBY_INMET_STATION' end,
+    case when target is not null and (yield_p90 - yield_p10) / greatest(yield_p50, 1) > 0.5 then 'HIGH_YIELD_UNCERTAINTY' end, 'MISSING_ZARC',
+    case when price_sample_size < 12 then 'LOW_PRICE_SAMPLE' end,
+    case when not contains(price_market_levels, 'PRODUTOR') then 'PRICE_MARKET_LEVEL_NOT_PRODUCER' end,
+    case when cost_type <> 'observed' then 'LOW_COST_DATA_CONFIDENCE' end] end""")}, '') as alerts,
+  case when status = 'recommended' then coalesce({_text('found')}, '') end as mismatches,
+  coalesce({_text("""case when status = 'recommended' then [case when target is not null then 'IBGE/PAM history and lagged climate features'
+    else 'IBGE/PAM/SIDRA table 5457' end, 'CONAB CustoProducao.txt', 'CONAB precos mensais', climate_source] else []::varchar[] end""")}, '') as sources_used,
+  36::bigint as id_length
+from chosen, (values {_profiles}) x(profile, {", ".join(f"w_{c}" for c in PARTS)})""",
+    **{k: v for k, v in dict(future=FUTURE, extended=EXTENDED, h=history_sql("extended"), merged=MERGED, lagged=LAGGED, recent=RECENT, inference=INFERENCE,
+                             pred=PRED, past_yields=YIELDS).items()},
+    **(RISK_VIEWS | {"yields": MIXED_YIELDS}), asked_climate=ASKED_CLIMATE, chosen=PREDICTED_DECIDED)
+
+
 def batch_predictions(spark, sf_dir):
     inference = training.inference_frame(
         view(spark, sf_dir, "harvests"), merged(spark, sf_dir), view(spark, sf_dir, "municipalities")
@@ -577,6 +630,83 @@ def yield_model_evaluation(spark, sf_dir):
     }))
 
 
+LINE = "yield_mean_5y"
+LINE_SETTINGS = ModelSettings(training_start_year=1997, training_end_year=2001, temporal_test_start_year=2000)
+
+
+def _line() -> modelling.Candidates:
+    """An ordinary least-squares line, whose fit SQL can repeat."""
+    return {"line": lambda seed: LinearRegression(
+        featuresCol="_x", labelCol=training.TARGET, predictionCol="prediction", solver="normal", regParam=0.0)}
+
+
+def line_evaluation(spark, sf_dir):
+    """The whole evaluation with one candidate on one feature: splits, imputation, metrics, gate and intervals."""
+    out = modelling.evaluate_candidates(_training(spark, sf_dir), LINE_SETTINGS, _line(), features=[LINE])
+    told = {"selected": F.lit(out.selected), "promoted": F.lit(out.promoted), "selection_score": F.lit(out.selection_score)}
+    told |= {c: F.lit(out.intervals[c]) for c in ("radius", "calibration_rows", "evaluation_rows", "empirical_coverage")}
+    return plain(out.metrics.select("split", "predictor", "rows", "mae", "rmse", "smape_pct", "r2").withColumns(told))
+
+
+def _fitted(train: str, test: str) -> str:
+    """Rows of `frame` where `test` holds, with the line fitted where `train` does."""
+    return f"""
+    select f.*, a.slope * coalesce({LINE}, a.mid) + a.base as line from frame f,
+      (select regr_slope({_t}, x) as slope, regr_intercept({_t}, x) as base, max(mid) as mid
+       from (select {_t}, coalesce({LINE}, mid) as x, mid from frame, (select median({LINE}) as mid from frame where {train}) where {train})) a where {test}"""
+
+
+LINE_VIEWS = dict(
+    temporal_rows=_fitted("ano < 2000", "ano >= 2000"), geographic_rows=_fitted(f"not {_share} < 0.2", f"{_share} < 0.2"),
+    line_metrics=" union all ".join(
+        _metric(c, name, f"(select *, '{split}' as split from {split}_rows)", "split", f"{c} is not null")
+        for split in ("temporal", "geographic") for name, c in {"line": "line", **_pairs}.items()),
+    ratios="select split, max(mae) filter (where predictor = 'line') / min(mae) filter (where predictor <> 'line') as ratio from line_metrics group by split",
+    errors=f"select ano, line as p, {_t} as y, abs({_t} - line) as a from temporal_rows",
+    reached="select a as radius, n as calibration_rows from (select a, row_number() over (order by a) as rn, count(*) over () as n from errors where ano = 2000) where rn = "
+            + _pick)
+LINE_SQL = with_views(f"""
+select split, predictor, rows, {rs('mae', 'rmse', 'smape_pct', 'r2')}, 'line' as selected, (select max(ratio) < 1 from ratios) as promoted,
+  {r('(select avg(ratio) from ratios)', 'selection_score')}, {r('radius')}, calibration_rows, evaluation_rows, {r('empirical_coverage')}
+from line_metrics, reached, (select count(*) as evaluation_rows, avg(cast(y between greatest(p - radius, 0) and p + radius as int)) as empirical_coverage
+  from errors, reached where ano > 2000)""", **FRAME_VIEWS, **LINE_VIEWS)
+
+
+def loaded_model_predictions(spark, sf_dir):
+    """Predictions of a model that was fitted, written, pointed to and loaded again."""
+    frame, harvests = _training(spark, sf_dir), view(spark, sf_dir, "harvests")
+    told = modelling.Evaluation(None, None, None, "line", True, 0.9, {"empirical_coverage": 0.75, "nominal_coverage": 0.8})
+    fitted = modelling.fit_production_model(
+        frame, told, version="line-v1", settings=LINE_SETTINGS, candidates=_line(), features=[LINE], dataset_version="training-1")
+    root = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    modelling.promote_model(spark, root, fitted)
+    inference = training.inference_frame(harvests, merged(spark, sf_dir), view(spark, sf_dir, "municipalities"))
+    return plain(modelling.promoted_predictions(inference, modelling.promoted_model(spark, root), harvests))
+
+
+LOADED_SQL = with_views(f"""
+select i.codigo_ibge, {r('greatest(greatest(p, 0) - radius, 0)', 'yield_p10')}, {r('greatest(p, 0)', 'yield_p50')}, {r('greatest(p, 0) + radius', 'yield_p90')},
+  'predicted' as yield_type, {n('ano', 'yield_target_year')}, cast(ano as varchar) as yield_reference_period, 'line-v1' as model_version,
+  0.7::double as performance_confidence, {n('ano - 1', 'climate_season')},
+  case when {LAG}rain_crop_cycle_mm is not null and contains({LAG}source, 'ERA5') and {LAG}source not in (select {LAG}source from frame
+    where {LAG}rain_crop_cycle_mm is not null) then 'CLIMATE_SOURCE_NOT_IN_MODEL_TRAINING' else '' end as yield_alerts,
+  {LAG}rain_crop_cycle_mm is not null as climate_available, {LAG}source as climate_source, {LAG}data_nature as climate_data_nature,
+  {LAG}method as climate_method, {LAG}quality_flag as climate_quality_flag, sample_size, 'line' as model, 'training-1' as dataset_version,
+  'split_conformal_absolute_residual' as interval_method, 0.8::double as interval_nominal_coverage, {r('radius', 'interval_radius_kg_ha')},
+  0.75::double as interval_empirical_coverage, {n('ano - 1', 'history_through_year')},
+  case when {LAG}rain_crop_cycle_mm is not null then 'IBGE/PAM history and lagged ' || {LAG}source || ' climate features'
+    else 'IBGE/PAM history; unavailable climate features imputed' end as yield_source
+from (select i.*, l.slope * coalesce({LINE}, l.mid) + l.base as p from inference i, last_line l) i
+left join (select codigo_ibge, count(*) as sample_size from harvests where {_t} is not null group by 1) s on s.codigo_ibge = i.codigo_ibge, last_radius""",
+    **FRAME_VIEWS,
+    last_line=f"""select regr_slope({_t}, x) as slope, regr_intercept({_t}, x) as base, max(mid) as mid from (
+      select {_t}, coalesce({LINE}, mid) as x, mid from frame, (select median({LINE}) as mid from frame where ano < (select max(ano) from frame))
+      where ano < (select max(ano) from frame))""",
+    last_radius=f"""select a as radius from (select a, row_number() over (order by a) as rn, count(*) over () as n from (
+      select abs({_t} - (slope * coalesce({LINE}, mid) + base)) as a from frame, last_line where ano = (select max(ano) from frame))) where rn = """ + _pick,
+    future=FUTURE, extended=EXTENDED, hx=history_sql("extended"), recent=RECENT, inference=INFERENCE.replace("from h t left join", "from hx t left join"))
+
+
 QUERIES = {
     "training_frame": (training_frame, FRAME_SQL),
     "inference_frame": (inference_frame, INFERENCE_SQL),
@@ -596,10 +726,12 @@ QUERIES = {
     "climate_scenario": (climate_scenario, CLIMATE_SQL),
     "risk_distribution": (risk_distribution, RISK_SQL),
     "recommendations": (recommendations, RECOMMEND_SQL),
-    "predicted_recommendations": (predicted_recommendations, None),
+    "predicted_recommendations": (predicted_recommendations, PREDICTED_RECOMMEND_SQL),
     "batch_predictions": (batch_predictions, PREDICTED_SQL),
     "min_max": (min_max, MINMAX_SQL),
     "dataset_rows": (dataset_rows, ROWS_SQL),
     "market_report": (market_report, MARKET_SQL),
     "yield_model_evaluation": (yield_model_evaluation, None),
+    "line_evaluation": (line_evaluation, LINE_SQL),
+    "loaded_model_predictions": (loaded_model_predictions, LOADED_SQL),
 }

@@ -35,6 +35,23 @@ def upsert(current: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return union_widening(current.join(new.select(*key).distinct(), key, "left_anti"), new)
 
 
+def insert_only(new: DataFrame, known: DataFrame, key: list[str], content: str) -> DataFrame:
+    """Rows of ``new`` whose key is not known yet, one for each key; content never changes under a key.
+
+    One aggregate by key meets both sides: equal rows are one, and a key with two contents, new or known, fails the job.
+    Of several new rows the smallest in order of their columns stays.
+    """
+    rest = [c for c in new.columns if c not in key]
+    row = F.struct(*[F.col(c) for c in rest])
+    mine = new.select(*key, F.col(content).alias("_content"), row.alias("_row"))
+    theirs = known.select(*key, F.col(content).alias("_content"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"))
+    met = mine.withColumn("_known", F.lit(0)).unionByName(theirs.withColumn("_known", F.lit(1))).groupBy(*key).agg(
+        F.min("_content").alias("_a"), F.max("_content").alias("_z"), F.max("_known").alias("_known"), F.min("_row").alias("_row"))
+    clash = F.concat(F.lit("immutable content differs under "), F.concat_ws("/", *[F.col(c).cast("string") for c in key]))
+    one = F.when(F.col("_a").eqNullSafe(F.col("_z")), F.col("_known") == 0).otherwise(F.raise_error(clash).cast("boolean"))
+    return met.where(one).select(*key, "_row.*").select(*new.columns)
+
+
 def merge_non_null(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Per key the only non-null value of each column, with ``conflicts`` naming violations.
 

@@ -111,6 +111,12 @@ def require(df: DataFrame, rules: dict[str, Column], what: str) -> DataFrame:
     return marked.where(ok).drop("violations")
 
 
+def guarded(df: DataFrame, offenders: DataFrame, message: Column) -> DataFrame:
+    """``df``, whose job fails with ``message`` (of a row of ``offenders``) if there is any; it adds no row and no job."""
+    none = offenders.where(F.raise_error(message).cast("boolean"))
+    return df.unionAll(none.select(*[F.lit(None).cast(kind).alias(c) for c, kind in df.dtypes]))
+
+
 def rule_summary(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``check, failing_rows`` for every rule in one pass over the rows."""
     totals = df.agg(*[F.count_if(~ok).alias(name) for name, ok in rules.items()])

@@ -2,25 +2,25 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer, and ranking with a window
 sorts a group in one task. Both are fine for a municipality's ten harvests, not for a state or a
-whole table. Here a rank is found by refinement, alike for groups of every size: copies of a value collapse to a count, the
-values of a group are counted by range, a prefix sum over the ranges tells which one holds the wanted rank, and only that
-one is opened again. The first ranges are of about equal depth, cut by a mergeable sketch, so that outliers do not
-matter; the next split the opened range evenly; then the few values left in it are ranked. Counts are exact in each
-round, so the sketch's error only makes a range longer, and a rank can not be missed.
+whole table. Here a rank is found by refinement, alike for groups of every size: the values of a group are counted by range,
+a running count over the ranges tells which one holds the wanted rank, and only that one is opened again. The first ranges grow
+with the size of the values, so that outliers take ranges of their own; the next split the opened one evenly between the
+least and greatest value in it; then the few values left are counted one by one. Counts are partial before every shuffle,
+and exact in each round, so a rank can not be missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .skew import salted_join
 
-# Ranges of the first round and accuracy of the sketch that cuts them; ranges of the second.
-DEPTHS = 64
-SKETCH_ACCURACY = 1_000
+# Ranges of the first round for each step of a value by e; ranges of the second round.
+STEEP_RANGES = 256
 EVEN_RANGES = 1 << 16
 
 
@@ -41,25 +41,38 @@ def conformal(coverage: float) -> Callable[[Column], Column]:
     return position
 
 
-def _opened(counted: DataFrame, facts: DataFrame, by: list[str], range_of: Column) -> DataFrame:
-    """One round: ``facts`` (by, _n, _asked) with the bounds of the ranges that hold the wanted ranks.
+def _counted(ranged: DataFrame, at: list[str]) -> DataFrame:
+    """Values by `_range`: how many there are in it and before it, and the least and greatest one."""
+    found = ranged.groupBy(*at, "_range").agg(F.count(F.lit(1)).alias("_in"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+    order = Window.partitionBy(*at).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("_before", F.coalesce(F.sum("_in").over(order), F.lit(0)))
+
+
+def _opened(placed: DataFrame, by: list[str], wanted: list[Column]) -> DataFrame:
+    """One row per key: `_n`, and for each wanted rank its rest `_r<i>` in the range that holds it, from `_lo<i>` to `_hi<i>`."""
+    told = {"_lo": F.col("_from"), "_hi": F.col("_to")}
+    parts = []
+    for i, rank in enumerate(wanted):
+        hit = (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in"))
+        parts += [F.max(F.when(hit, c)).alias(f"{name}{i}") for name, c in ({"_r": rank - F.col("_before")} | told).items()]
+    return placed.groupBy(*by, "_n").agg(*parts)
 
-    An entry of ``_asked`` is a rank, its rest inside the values from lo to hi, and these two; null bounds stand for
-    the whole group. Values of one opened range are counted by ``range_of`` (of `_v`, `_lo`, `_hi` and what ``facts``
-    has besides), and the running count finds the range to open next.
+
+def _again(rows: DataFrame, facts: DataFrame, by: list[str], ranks: range, range_of: Callable[[Column, Column], Column]) -> DataFrame:
+    """A further round: the values in the ranges of ``facts``, counted by ``range_of`` the ranges' bounds.
+
+    Ranges of two ranks are the same or apart, so the ranks that a value counts for tell its range.
     """
     v = F.col("_v")
-    around = F.filter("_asked", lambda a: a["lo"].isNull() | ((v >= a["lo"]) & (v <= a["hi"])))
-    held = salted_join(counted, facts, by).withColumn("_here", around).where(F.size("_here") > 0)
-    ranged = held.withColumns({"_lo": F.get("_here", F.lit(0))["lo"], "_hi": F.get("_here", F.lit(0))["hi"]}).withColumn("_range", range_of)
-    at = [*by, "_n", "_here"]
-    found = ranged.groupBy(*at, "_range").agg(F.sum("_c").alias("_in"), F.min("_v").alias("_to_lo"), F.max("_v").alias("_to_hi"))
-    order = Window.partitionBy(*at).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    placed = found.withColumn("_before", F.coalesce(F.sum("_in").over(order), F.lit(0)))
-    hit = F.filter("_here", lambda a: (a["rest"] >= F.col("_before")) & (a["rest"] < F.col("_before") + F.col("_in")))
-    asked = F.transform(hit, lambda a: F.struct(
-        a["rank"].alias("rank"), (a["rest"] - F.col("_before")).alias("rest"), F.col("_to_lo").alias("lo"), F.col("_to_hi").alias("hi")))
-    return placed.groupBy(*by, "_n").agg(F.flatten(F.collect_list(asked)).alias("_asked"))  # two entries for each quantile
+    inside = [(v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")) for i in ranks]
+    bound = lambda side: F.coalesce(*[F.when(test, F.col(f"_{side}{i}")) for i, test in zip(ranks, inside, strict=True)])
+    # Not by broadcasting the values to the few tasks that hold the facts: the facts are spread, and the values stay spread.
+    held = salted_join(rows, facts.hint("shuffle_hash"), by).where(reduce(lambda x, y: x | y, inside))
+    mine = [f"_m{i}" for i in ranks]
+    marked = held.select(
+        *by, "_n", "_v", *[F.when(test, F.col(f"_r{i}")).alias(m) for i, m, test in zip(ranks, mine, inside, strict=True)],
+        range_of(bound("lo"), bound("hi")).alias("_range"))
+    return _opened(_counted(marked, [*by, "_n", *mine]), by, [F.col(m) for m in mine])
 
 
 def exact_quantiles(
@@ -81,32 +94,28 @@ def exact_quantiles(
     rows = rows.select(*by, F.col(value).cast("double").alias("_v"))
     for key in by:  # a null key is a group of its own
         rows = rows.withColumn(key, F.struct(F.col(key)))
-    counted = rows.where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    depths = [i / DEPTHS for i in range(1, DEPTHS)]
-    stats = counted.groupBy(*by).agg(
-        F.sum("_c").alias("_n"), F.percentile_approx("_v", depths, SKETCH_ACCURACY).alias("_cuts"))
-
+    rows = rows.where("_v is not null")
     places = [position(p)(F.col("_n")) for p in quantiles.values()]
     ends = [end(at).cast("long") for at in places for end in (F.floor, F.ceil)]
-    unknown = F.lit(None).cast("double")
-    whole_group = F.transform(F.array_distinct(F.array(*ends)), lambda r: F.struct(
-        r.alias("rank"), r.alias("rest"), unknown.alias("lo"), unknown.alias("hi")))
-
-    half = lambda c: F.col(c) / 2  # noqa: E731  so that no difference overflows
-    share = F.try_divide(half("_v") - half("_lo"), half("_hi") - half("_lo"))
-    deep = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    even = F.floor(F.nanvl(F.coalesce(share, F.lit(0.0)), F.lit(1.0)) * (EVEN_RANGES - 1))
-    facts = _opened(counted, stats.withColumn("_asked", whole_group), by, deep)
-    facts = _opened(counted, facts, by, even)
-    facts = _opened(counted, facts, by, F.col("_v"))
-
-    # The last round's ranges are single values.
-    entries = F.transform("_asked", lambda a: F.struct(a["rank"], a["lo"]))
-    found = facts.withColumn("_found", F.map_from_entries(entries))
+    ranks = range(len(ends))
+
+    v = F.col("_v")
+    size = F.floor(F.log1p(F.abs(v)) * STEEP_RANGES)  # never falls as the value grows
+    steep = F.when(v < 0, -1 - size).when(F.isnan(v) | (v == float("inf")), F.lit(1 << 62)).otherwise(size)
+
+    def even(low: Column, high: Column) -> Column:
+        share = F.try_divide(v / 2 - low / 2, high / 2 - low / 2)  # halves, so that no difference overflows
+        return F.floor(F.nanvl(F.coalesce(share, F.lit(0.0)), F.lit(1.0)) * (EVEN_RANGES - 1))
+
+    first = _counted(rows.withColumn("_range", F.when(v == float("-inf"), F.lit(-(1 << 62))).otherwise(steep)), by)
+    first = first.withColumn("_n", F.sum("_in").over(Window.partitionBy(*by)))
+    facts = _again(rows, _opened(first, by, ends), by, ranks, even)
+    found = _again(rows, facts, by, ranks, lambda *_: v)  # the last ranges are single values
+
     outputs: list[Column] = []
-    for name, at_ in zip(quantiles, places, strict=True):
-        low, high = (F.element_at("_found", end(at_).cast("long")) for end in (F.floor, F.ceil))
-        outputs.append((low + (high - low) * (at_ - F.floor(at_))).alias(name))
+    for i, (name, at) in enumerate(zip(quantiles, places, strict=True)):
+        low, high = F.col(f"_lo{2 * i}"), F.col(f"_lo{2 * i + 1}")
+        outputs.append((low + (high - low) * (at - F.floor(at))).alias(name))
     if count_as:
         outputs.append(F.col("_n").alias(count_as))
     return found.select(*([] if whole else [F.col(k)[k].alias(k) for k in by]), *outputs)

@@ -94,32 +94,33 @@ def _triangular(u: np.ndarray, low: np.ndarray, mode: np.ndarray, high: np.ndarr
 
 def _simulator(stream: np.ndarray, n: int):
     """Vectorised simulation of Arrow batches; a task needs nothing but its rows and the stream."""
+    slices = stream.reshape(DIMENSIONS, n)
 
     @F.pandas_udf(RISK_SCHEMA)
     def simulate(batch: pd.DataFrame) -> pd.DataFrame:
         limits = batch.to_numpy(dtype=float)
         out = np.full((len(limits), len(RISK_FIELDS)), np.nan)
-        known = np.flatnonzero(np.isfinite(limits).all(axis=1))
-        for start in range(0, len(known), RISK_ROWS):
-            rows = known[start : start + RISK_ROWS]
-            at = np.zeros(len(rows), dtype=int)
-            drawn = []
-            for d in range(DIMENSIONS):
-                low, mode, high = (limits[rows, 3 * d + i][:, None] for i in range(3))
-                # A range without width is constant and leaves its draws to the next one.
-                u = stream[at[:, None] + np.arange(n)]
-                drawn.append(np.where(low == high, low, _triangular(u, low, mode, high)))
-                at = at + np.where(low[:, 0] < high[:, 0], n, 0)
-            profit = drawn[0] * drawn[1] - drawn[2]
-            out[rows] = np.column_stack(
-                [
-                    (profit > 0).mean(axis=1), (profit < 0).mean(axis=1),
-                    *np.quantile(profit, [0.1, 0.5, 0.9], axis=1),
-                    profit.mean(axis=1), np.minimum(profit, 0.0).mean(axis=1),
-                ]
-            )
-        result = pd.DataFrame(out, columns=RISK_FIELDS).astype(object)
-        return result.where(pd.notna(result), None)
+        known = np.isfinite(limits).all(axis=1)
+        # A range without width is constant and leaves its draws to the next one; rows with the same widths share draws.
+        wide = limits[:, 0::3] < limits[:, 2::3]
+        for pattern in np.unique(wide[known], axis=0):
+            turn = np.r_[0, np.cumsum(pattern[:-1])]
+            alike = np.flatnonzero(known & (wide == pattern).all(axis=1))
+            for start in range(0, len(alike), RISK_ROWS):
+                rows = alike[start : start + RISK_ROWS]
+                drawn = []
+                for d in range(DIMENSIONS):
+                    low, mode, high = (limits[rows, 3 * d + i][:, None] for i in range(3))
+                    drawn.append(np.where(low == high, low, _triangular(slices[turn[d]], low, mode, high)))
+                profit = drawn[0] * drawn[1] - drawn[2]
+                out[rows] = np.column_stack(
+                    [
+                        (profit > 0).mean(axis=1), (profit < 0).mean(axis=1),
+                        *np.quantile(profit, [0.1, 0.5, 0.9], axis=1),
+                        profit.mean(axis=1), np.minimum(profit, 0.0).mean(axis=1),
+                    ]
+                )
+        return pd.DataFrame(out, columns=RISK_FIELDS)
 
     return simulate
 
@@ -139,7 +140,8 @@ def profit_risk(
         *[ranges[d][i].cast("double").alias(f"{d}{i}") for d in ("yield", "price", "cost") for i in range(3)]
     )
     simulated = df.withColumn("_risk", _simulator(stream, simulations)(limits))
-    return simulated.withColumns({f: F.col(f"_risk.{f}") for f in RISK_FIELDS}).drop("_risk")
+    nothing = F.lit(float("nan"))
+    return simulated.withColumns({f: F.nullif(F.col(f"_risk.{f}"), nothing) for f in RISK_FIELDS}).drop("_risk")
 
 
 def scenario_ranges() -> dict[str, tuple[Column, Column, Column]]:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, fields, replace
 from functools import reduce
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ModelSettings
@@ -18,12 +20,14 @@ from ..operators.metrics import (
     BASELINES, TARGET, conformal_radius, evaluate_intervals, interval, metrics_by_source,
     performance_confidence, regression_metrics, selection_scores, with_splits,
 )
+from ..operators.quality import many_to_one
 from ..operators.quantiles import exact_medians
 from .training import LAG, MODEL_FEATURES
 
 # Fixed value: alert when a prediction rests on a climate source absent from training.
 UNSEEN_SOURCE = "CLIMATE_SOURCE_NOT_IN_MODEL_TRAINING"
 INTERVAL_METHOD = "split_conformal_absolute_residual"
+WITHOUT_CLIMATE = "IBGE/PAM history; unavailable climate features imputed"
 
 Candidates = dict[str, Callable[[int], Estimator]]
 
@@ -111,7 +115,8 @@ class Evaluation:
 
 
 def evaluate_candidates(
-    frame: DataFrame, settings: ModelSettings | None = None, candidates: Candidates | None = None
+    frame: DataFrame, settings: ModelSettings | None = None, candidates: Candidates | None = None,
+    features: list[str] = MODEL_FEATURES,
 ) -> Evaluation:
     """Fit every candidate on both splits, compare with the baselines and pick one."""
     cfg, makers = settings or ModelSettings(), candidates or default_candidates()
@@ -125,7 +130,7 @@ def evaluate_candidates(
         train, test = marked.where(~test_flag), marked.where(test_flag)
         if train.isEmpty() or test.isEmpty():
             raise ValueError(f"the {split} split is empty")
-        scored, medians = test, Imputation.fit(train)  # shared by the candidates of a split
+        scored, medians = test, Imputation.fit(train, features)  # shared by the candidates of a split
         for name, build in makers.items():
             model = fit_model(name, build, train, cfg.random_seed, imputation=medians)
             scored = model.predict(scored, name)
@@ -141,8 +146,9 @@ def evaluate_candidates(
     rank = {n: i for i, n in enumerate(makers)}
     best = min(scores.collect(), key=lambda r: (r["selection_score"], rank[r["predictor"]]))
     year = cfg.temporal_test_start_year
+    before = marked.where(F.col("ano") < year)
     model = fit_model(
-        best["predictor"], makers[best["predictor"]], marked.where(F.col("ano") < year), cfg.random_seed
+        best["predictor"], makers[best["predictor"]], before, cfg.random_seed, imputation=Imputation.fit(before, features)
     )
     intervals = evaluate_intervals(
         model.predict(marked.where(F.col("ano") >= year)), "prediction", calibration_year=year,
@@ -164,29 +170,109 @@ class ProductionModel:
     calibration_rows: int
     confidence: float
     climate_sources: tuple[str, ...]
+    coverage: float = 0.0
+    calibration_year: int = 0
+    training_rows: int = 0
+    empirical_coverage: float | None = None
+    selection_score: float | None = None
+    dataset_version: str | None = None
 
 
 def fit_production_model(
     frame: DataFrame, evaluation: Evaluation, *, version: str, settings: ModelSettings | None = None,
-    candidates: Candidates | None = None,
+    candidates: Candidates | None = None, features: list[str] = MODEL_FEATURES, dataset_version: str | None = None,
 ) -> ProductionModel | None:
     """The selected candidate fitted for production, or None if it failed the promotion gate."""
     if not evaluation.promoted:
         return None
     cfg, makers = settings or ModelSettings(), candidates or default_candidates()
-    latest = frame.agg(F.max("ano")).first()[0]
+    latest, rows = frame.agg(F.max("ano"), F.count(F.lit(1))).first()
+    if latest is None:
+        raise ValueError("there is no training year")
+    train = frame.where(F.col("ano") < latest)
     model = fit_model(
-        evaluation.selected, makers[evaluation.selected], frame.where(F.col("ano") < latest), cfg.random_seed
+        evaluation.selected, makers[evaluation.selected], train, cfg.random_seed, imputation=Imputation.fit(train, features)
     )
     held = model.predict(frame.where(F.col("ano") == latest))
     calibrated = conformal_radius(held, "prediction", cfg.prediction_interval_coverage).first()
     used = frame.where(F.col(LAG + "rain_crop_cycle_mm").isNotNull()).select(LAG + "source").distinct()
     sources = tuple(sorted(r[0] for r in used.collect() if r[0] is not None))
     return ProductionModel(
-        model, version, calibrated["radius"], calibrated["calibration_rows"], evaluation.confidence, sources
+        model, version, calibrated["radius"], calibrated["calibration_rows"], evaluation.confidence, sources,
+        coverage=cfg.prediction_interval_coverage, calibration_year=latest, training_rows=rows - calibrated["calibration_rows"],
+        empirical_coverage=evaluation.intervals.get("empirical_coverage"), selection_score=evaluation.selection_score,
+        dataset_version=dataset_version,
     )
 
 
+POINTER_SCHEMA = (
+    "model string, model_version string, path string, promoted boolean, medians map<string,double>, radius double, "
+    "calibration_rows long, confidence double, climate_sources array<string>, coverage double, calibration_year int, "
+    "training_rows long, empirical_coverage double, selection_score double, dataset_version string"
+)
+POINTERS = "_models"
+
+
+def promote_model(spark: SparkSession, root: str, production: ProductionModel) -> str:
+    """Write the fitted regressor and point to it; returns its path.
+
+    The regressor is written by Spark ML, spread like any table; the pointer row, which also tells all that a prediction
+    needs besides, is added last, so a failed write promotes nothing. A version is written once.
+    """
+    path = f"{root}/{production.version}"
+    production.model.regressor.write().save(path)
+    told = {**asdict(replace(production, model=None)), "model": production.model.name, "model_version": production.version,
+            "path": path, "promoted": True, "medians": production.model.imputation.medians, "climate_sources": list(production.climate_sources)}
+    row = tuple(told[c.split()[0]] for c in POINTER_SCHEMA.split(", "))
+    pointer = spark.createDataFrame([row], POINTER_SCHEMA).withColumn("promoted_at", F.current_timestamp())
+    pointer.coalesce(1).write.mode("append").parquet(f"{root}/{POINTERS}")
+    return path
+
+
+def promoted_model(spark: SparkSession, root: str) -> ProductionModel | None:
+    """The model promoted last, or None where none was. A pointer to a regressor that is gone is an error."""
+    try:
+        pointers = spark.read.schema(f"{POINTER_SCHEMA}, promoted_at timestamp").parquet(f"{root}/{POINTERS}")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+    row = pointers.where("promoted").orderBy(F.desc("promoted_at")).first()
+    if row is None:
+        return None
+    regressor = DefaultParamsReader.loadParamsInstance(row["path"], spark)
+    names = {f.name for f in fields(ProductionModel)} - {"model", "version", "climate_sources"}
+    return ProductionModel(
+        YieldModel(row["model"], Imputation(dict(row["medians"])), regressor), row["model_version"],
+        climate_sources=tuple(row["climate_sources"]), **{c: row[c] for c in names})
+
+
+def promoted_predictions(inference: DataFrame, production: ProductionModel, panel: DataFrame | None = None, *, crop: str = "soja") -> DataFrame:
+    """Batch predictions of a promoted model with what describes them: model, interval, sample and the features' periods.
+
+    The sample size of a municipality is the number of its known harvests in ``panel``.
+    """
+    predicted = predicted_yields(
+        inference, production.model, radius=production.radius, version=production.version,
+        confidence=production.confidence, climate_sources=production.climate_sources)
+    climate = inference.select(
+        "codigo_ibge", F.col(LAG + "rain_crop_cycle_mm").isNotNull().alias("climate_available"),
+        *[F.col(LAG + c).alias(f"climate_{c}") for c in ("source", "data_nature", "method", "quality_flag")])
+    described = many_to_one(predicted, climate, ["codigo_ibge"], "left", "inference rows")
+    if panel is not None:
+        known = panel.where((F.col("cultura") == crop) & F.col(TARGET).isNotNull()).groupBy("codigo_ibge").agg(F.count(F.lit(1)).alias("sample_size"))
+        described = described.join(known, "codigo_ibge", "left")
+    source = F.concat(F.lit("IBGE/PAM history and lagged "), "climate_source", F.lit(" climate features"))
+    return described.withColumns({
+        "model": F.lit(production.model.name), "dataset_version": F.lit(production.dataset_version).cast("string"),
+        "interval_method": F.lit(INTERVAL_METHOD), "interval_nominal_coverage": F.lit(production.coverage),
+        "interval_radius_kg_ha": F.lit(float(production.radius)),
+        "interval_empirical_coverage": F.lit(production.empirical_coverage).cast("double"),
+        "history_through_year": F.col("yield_target_year") - 1,
+        "yield_source": F.when(F.col("climate_available"), source).otherwise(WITHOUT_CLIMATE),
+    })
+
+
 def predicted_yields(
     inference: DataFrame, model: YieldModel | None, *, radius: float, version: str, confidence: float,
     climate_sources: tuple[str, ...] = (), prediction: str | None = None,

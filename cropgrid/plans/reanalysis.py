@@ -13,8 +13,7 @@ from ..functions.columns import (
     celsius, finite_or_null, relative_humidity, season_hours, weighted_mean, wind_speed, withhold,
 )
 from ..functions.geo import haversine_km, wrap_longitude
-from ..operators.merge import merge_non_null, require_no_conflicts, union_widening
-from ..operators.neighbours import nearest_on_axis
+from ..operators.merge import require_no_conflicts, union_widening
 from .station import FEATURES, in_season
 
 # Source names of the hourly variables, daily columns and provenance texts.
@@ -56,6 +55,8 @@ TEMPORAL_METHODS = {
 }
 RAIN_TOLERANCE_MM, RADIATION_TOLERANCE_KJ = 1e-5, 1e-6
 MAX_GRID_KM = 20.0
+# Column that names the file of an hourly row, where several files make one table.
+SOURCE_FILE = "source_file"
 METHOD_PREFIX = "nearest ERA5-Land reanalysis grid cell; UTC Sep-Apr; "
 INSUFFICIENT, FALLBACK = "ERA5_INSUFFICIENT_SEASON_COVERAGE", "ERA5_REANALYSIS_FALLBACK"
 
@@ -69,51 +70,86 @@ def check_units(units: dict[str, str]) -> None:
 
 
 def standard_variables(grid: DataFrame) -> DataFrame:
-    """Hourly grid rows with one column per variable; absent variables and non-numbers are NULL."""
+    """Hourly grid rows with one column per variable; absent variables and non-numbers are NULL.
+
+    A column ``<variable>_units`` beside a variable is checked row by row: another unit fails the job. ``source_file`` is kept.
+    """
     found = {v: [c for c in names if c in grid.columns] for v, names in ALIASES.items()}
     if not any(found.values()):
         raise ValueError("grid table has no recognised climate variable")
     whole = F.col("valid_time") == F.date_trunc("hour", "valid_time")
-    hourly = grid.where(
-        F.when(whole, F.lit(True)).otherwise(
-            F.raise_error(F.lit("valid_time must hold exact hours")).cast("boolean")
-        )
-    )
+    problem = F.when(~F.coalesce(whole, F.lit(False)), F.lit("valid_time must hold exact hours"))
+    for v, names in found.items():
+        for n in names:
+            if f"{n}_units" in grid.columns:
+                given = F.replace(F.replace(F.lower(F.col(f"{n}_units")), F.lit(" "), F.lit("")), F.lit("**"), F.lit("^"))
+                wrong = F.col(n).isNotNull() & ~F.coalesce(given.isin(*UNITS[v]), F.lit(False))
+                problem = problem.when(wrong, F.concat(F.lit(f"unsupported unit of {v}: "), F.coalesce(f"{n}_units", F.lit("none"))))
+    hourly = grid.where(F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean")))
     columns = [
         F.coalesce(*[finite_or_null(F.col(n).cast("double")) for n in names], F.lit(None).cast("double")).alias(v)
         for v, names in found.items()
     ]
-    return hourly.select("grid_lat", "grid_lon", "valid_time", *columns)
+    return hourly.select("grid_lat", "grid_lon", "valid_time", *columns, *[c for c in (SOURCE_FILE,) if c in grid.columns])
+
+
+def merged_hours(hourly: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key and hour, coalesced over files in one aggregate.
+
+    Files may overlap where they agree. An hour that one file holds twice, or values that differ, fail the job.
+    """
+    named = SOURCE_FILE in hourly.columns
+    times = [F.count(F.lit(1)).alias("_rows"), F.size(F.collect_set(SOURCE_FILE)).alias("_files")] if named else []
+    spread = [f(c).alias(f"_{f.__name__}_{c}") for c in ALIASES for f in (F.min, F.max)]
+    merged = hourly.groupBy(*keys, "valid_time").agg(*spread, *times)
+    differ = F.array_compact(F.array(*[F.when(F.col(f"_min_{c}") != F.col(f"_max_{c}"), F.lit(c)) for c in ALIASES]))
+    problem = F.when(F.size(differ) > 0, F.concat(F.lit("Conflicting overlapping grid values: "), F.array_join(differ, ",")))
+    if named:
+        problem = problem.when(F.col("_rows") > F.col("_files"), F.concat(F.lit("an hour twice in one file: "), F.col("valid_time").cast("string")))
+    sound = F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean"))
+    return merged.where(sound).select(*keys, "valid_time", *[F.col(f"_max_{c}").alias(c) for c in ALIASES])
+
+
+def _nearest_line(lines: Column, value: Column) -> Column:
+    """The line of a sorted array nearest to a value, the upper one of two; found by halving."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(lines) + F.lit(1))).cast("int"))
+    whole = F.struct(F.lit(1).alias("low"), (F.size(lines) + F.lit(1)).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s.low + s.high) / 2).cast("int")
+        below = F.coalesce(F.try_element_at(lines, middle) < value, F.lit(False))
+        return F.when(s.low >= s.high, s).when(below, F.struct((middle + 1).alias("low"), s.high.alias("high"))).otherwise(
+            F.struct(s.low.alias("low"), middle.alias("high")))
+
+    first = F.aggregate(steps, whole, halve)["low"]  # the first line that is not below the value
+    upper = F.element_at(lines, F.least(first, F.size(lines)))
+    lower = F.element_at(lines, F.greatest(first - 1, F.lit(1)))
+    return F.when(F.abs(value - lower) < F.abs(upper - value), lower).otherwise(upper)
 
 
 def map_to_grid(locations: DataFrame, grid: DataFrame, *, max_grid_distance_km: float = MAX_GRID_KM) -> DataFrame:
-    """Nearest grid line per latitude and per longitude; fails beyond the distance limit."""
-    lines = grid.select("grid_lat", "grid_lon")
-    lats, lons = lines.select("grid_lat").distinct(), lines.select("grid_lon").distinct()
-    low, high = grid.agg(F.min("grid_lon"), F.max("grid_lon")).first()
-    positive = low is not None and low >= 0
-    lon = F.col("longitude_centroid")
-    # The circle closes: each end of the axis also stands a full turn away, and maps back to itself.
-    turned = [F.col("_west") + 360.0, F.col("_east") - 360.0]
-    seam = lines.agg(F.min("grid_lon").alias("_west"), F.max("grid_lon").alias("_east"))
-    lons = lons.unionAll(seam.select(F.explode(F.array(*turned)).alias("grid_lon")))
-    wanted = locations.select(*LOCATION).withColumn("_lon", F.pmod(lon, F.lit(360.0)) if positive else lon)
-    wanted = wanted.where("latitude_centroid is not null and longitude_centroid is not null")
-    by_lat = nearest_on_axis(wanted, "latitude_centroid", lats, "grid_lat")
-    by_lon = nearest_on_axis(wanted, "_lon", lons, "grid_lon").withColumn(
-        "grid_lon",
-        F.when(F.col("grid_lon") > F.lit(high), F.lit(low)).when(F.col("grid_lon") < F.lit(low), F.lit(high))
-        .otherwise(F.col("grid_lon")),
-    )
-    placed = wanted.join(by_lat, "latitude_centroid").join(by_lon, "_lon").drop("_lon")
-    placed = placed.withColumns(
-        {"grid_latitude": F.col("grid_lat"), "grid_longitude": wrap_longitude("grid_lon")}
+    """Nearest grid line per latitude and per longitude; fails beyond the distance limit.
+
+    One aggregate reads the grid's coordinates and gives both axes as one row, whose lines are as many as the resolution
+    allows in 360 degrees. The circle closes: each end of the longitudes also stands a full turn away.
+    """
+    lines = lambda c: F.array_sort(F.collect_set(F.col(c).cast("double")))
+    axes = grid.agg(lines("grid_lat").alias("_lats"), lines("grid_lon").alias("_lons")).where("size(_lats) > 0 and size(_lons) > 0")
+    west, east = F.element_at("_lons", 1), F.element_at("_lons", -1)
+    turned = F.concat(F.array(east - 360.0), F.col("_lons"), F.array(west + 360.0))
+    placed = locations.select(*LOCATION).where("latitude_centroid is not null and longitude_centroid is not null").crossJoin(F.broadcast(axes))  # one row
+    lon = F.when(west >= 0, F.pmod("longitude_centroid", F.lit(360.0))).otherwise(F.col("longitude_centroid"))
+    found = placed.withColumns({"_turned": F.array_sort(F.array_distinct(turned)), "_lon": lon}).withColumns(
+        {"grid_lat": _nearest_line(F.col("_lats"), F.col("latitude_centroid")), "_line": _nearest_line(F.col("_turned"), F.col("_lon"))})
+    back = F.when(F.col("_line") > east, west).when(F.col("_line") < west, east).otherwise(F.col("_line"))
+    mapped = found.withColumn("grid_lon", back).select(
+        *LOCATION, "grid_lat", "grid_lon", F.col("grid_lat").alias("grid_latitude"), wrap_longitude("grid_lon").alias("grid_longitude")
     ).withColumn(
         "distance_to_grid_km",
         haversine_km("latitude_centroid", "longitude_centroid", "grid_latitude", "grid_longitude"),
     )
     near = F.col("distance_to_grid_km") <= max_grid_distance_km
-    return placed.where(
+    return mapped.where(
         F.when(near, F.lit(True)).otherwise(
             F.raise_error(F.concat(F.lit("grid too far from "), F.col("codigo_ibge"))).cast("boolean")
         )
@@ -192,10 +228,7 @@ def location_daily(
     mapping = map_to_grid(locations, grid, max_grid_distance_km=max_grid_distance_km)
     cell = ["grid_lat", "grid_lon"]
     used = standard_variables(grid).join(mapping.select(*cell).distinct(), cell, "left_semi")
-    hourly = require_no_conflicts(
-        merge_non_null(used, [*cell, "valid_time"], list(ALIASES)), "grid"
-    )
-    daily = daily_totals(hourly, keys=cell, mode=mode)
+    daily = daily_totals(merged_hours(used, cell), keys=cell, mode=mode)
     return daily.join(mapping, cell).select(
         *LOCATION, "data", *VALUES, *COUNTS, *GRID,
         F.lit("estimated").alias("data_nature"), F.lit(SOURCES[mode]).alias("source"),

@@ -54,17 +54,12 @@ def yield_scenarios(panel: DataFrame, *, crop: str = "soja") -> DataFrame:
 def _two_level(facts: DataFrame, locations: DataFrame, columns: list[str]) -> DataFrame:
     """Municipality facts where they exist, else the facts of its state, as one struct.
 
-    ``facts`` has one row per place and is materialised, as both joins read it.
+    Every location asks for both places in one join, which spreads the locations of a state over tasks.
     """
-    facts = cut_lineage(facts)
-    local, state = (facts.where(F.col("scope") == s) for s in ("municipality", "state"))
-    base = locations.select("codigo_ibge", "uf")
-    here = local.select(F.col("place").alias("codigo_ibge"), F.struct(*columns).alias("_here"))
-    there = state.select(F.col("place").alias("uf"), F.struct(*columns).alias("_there"))
-    joined = base.join(here, "codigo_ibge", "left").join(there, "uf", "left")
-    return joined.select("codigo_ibge", F.coalesce("_here", "_there").alias("_s")).where(
-        "_s is not null"
-    ).select("codigo_ibge", "_s.*")
+    place = lambda scope, c, rank: F.struct(F.lit(scope).alias("scope"), F.col(c).alias("place"), F.lit(rank).alias("_rank"))
+    asked = locations.select("codigo_ibge", F.inline(F.array(place("municipality", "codigo_ibge", 0), place("state", "uf", 1))))
+    found = salted_join(asked, facts.select("scope", "place", F.struct(*columns).alias("_s")), ["scope", "place"])
+    return found.groupBy("codigo_ibge").agg(F.min_by("_s", "_rank").alias("_s")).select("codigo_ibge", "_s.*")
 
 
 def _place_facts(rows: DataFrame, *more: Column) -> DataFrame:

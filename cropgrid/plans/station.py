@@ -12,7 +12,7 @@ from ..functions.columns import plausible_readings, provenance, season_hours, se
 from ..functions.geo import chord_to_km, half_chord
 from ..operators.merge import keep_last, union_widening
 from ..operators.neighbours import extreme_neighbours
-from ..operators.quality import many_to_one
+from ..operators.quality import guarded, many_to_one
 
 # Station identity, seasonal climate features and provenance texts.
 METADATA = ["station_name", "station_uf", "station_latitude", "station_longitude", "station_altitude_m"]
@@ -224,7 +224,8 @@ def municipality_seasons(
     placed = locations.where("latitude_centroid is not null and longitude_centroid is not null").select(
         *MUNICIPALITY
     )
-    # Seasons without an adequate station yield no rows.
+    # Seasons without an adequate station yield no rows; none at all fails the job.
+    nothing = targets.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0")
     nearest = extreme_neighbours(
         placed, targets, by=["season_year"], every_group=True,
         point_coordinates=("latitude_centroid", "longitude_centroid"),
@@ -235,7 +236,7 @@ def municipality_seasons(
         *MUNICIPALITY, "season_year", "station_code", *carried, F.col("distance_km").alias("distance_to_station_km")
     )
     near = F.col("distance_to_station_km") <= max_distance_km
-    return withhold(
+    withheld = withhold(
         joined.withColumns(
             {
                 "data_nature": F.when(near, "interpolated").otherwise("estimated"),
@@ -246,6 +247,7 @@ def municipality_seasons(
         ),
         near, [*FEATURES, "season_coverage"],
     )
+    return guarded(withheld, nothing, F.lit("there is no adequate station in any season"))
 
 
 def climate_report(municipal: DataFrame) -> DataFrame:

@@ -157,8 +157,8 @@ def test_nearest_station_withholds_beyond_radius(spark):
     assert got["1234567"]["rain_crop_cycle_mm"] == 242 and got["1234567"]["data_nature"] == "interpolated"
     assert got["2"]["rain_crop_cycle_mm"] is None and got["2"]["season_coverage"] is None
     assert got["2"]["quality_flag"] == "NO_NEARBY_INMET_STATION" and got["2"]["distance_to_station_km"] > 1000
-    with pytest.raises(ValueError):
-        station.municipality_seasons(seasons.where("false"), where, max_distance_km=250, minimum_coverage=0.7)
+    with pytest.raises(Exception, match="no adequate station"):  # in the job, as the plan runs none before
+        station.municipality_seasons(seasons.where("false"), where, max_distance_km=250, minimum_coverage=0.7).collect()
 
 
 CLIMATE = "codigo_ibge string, season_year int, rain_crop_cycle_mm double, mean_temp_c double, season_coverage double, source string, quality_flag string, latitude_centroid double, longitude_centroid double, distance_to_station_km double"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cropgrid.operators import merge
 from cropgrid.operators.neighbours import nearest_on_axis
 from cropgrid.plans import audit, climate, reanalysis, station
+from cropgrid.session import kept_table
 
 from .sqltext import adequate, hav, joined, n, r, rs
 from .views import plain, read, view, with_views
@@ -146,7 +147,7 @@ select station_code, {n('season_year')}, versions as station_metadata_versions,
 
 def nearest_station(spark, sf_dir):
     """Stations to municipalities for every season, from daily weather to withheld features."""
-    seasons = station.station_seasons(view(spark, sf_dir, "station_days"))
+    seasons = kept_table(station.station_seasons(view(spark, sf_dir, "station_days")), "station-seasons")
     return plain(station.municipality_seasons(
         seasons, view(spark, sf_dir, "municipalities"), max_distance_km=250.0, minimum_coverage=0.7
     ))

@@ -21,6 +21,8 @@ from .skew import salted_join
 #: Degrees of a cell on each level; each divides the one before.
 WIDTHS = (11.25, 2.8125, 0.703125, 0.17578125)
 SLACK = 1e-9
+#: Tasks that the points of one finest cell are spread over.
+CELL_SALTS = 4
 
 
 def _cell(lat: str, lon: str, width: float) -> Column:
@@ -141,7 +143,7 @@ def extreme_neighbours(
     cells = _candidate_cells(places, seats, by, given, farthest)
     candidates = cells.join(seats.select(*by, finest_t, "_tlat", "_tlon", "_key"), [*by, finest_t]).drop(finest_t)
     sign = -1 if farthest else 1
-    met = salted_join(places.select(*given, finest_p, "_plat", "_plon"), candidates, [*given, finest_p])
+    met = salted_join(places.select(*given, finest_p, "_plat", "_plon"), candidates, [*given, finest_p], salts=CELL_SALTS)
     found = (
         met.withColumn("_far", half_chord("_plat", "_plon", "_tlat", "_tlon") * sign)
         .groupBy(*by, "_plat", "_plon")

@@ -67,7 +67,8 @@ def _again(rows: DataFrame, facts: DataFrame, by: list[str], ranks: range, range
     inside = [(v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")) for i in ranks]
     bound = lambda side: F.coalesce(*[F.when(test, F.col(f"_{side}{i}")) for i, test in zip(ranks, inside, strict=True)])
     # Not by broadcasting the values to the few tasks that hold the facts: the facts are spread, and the values stay spread.
-    held = salted_join(rows, facts.hint("shuffle_hash"), by).where(reduce(lambda x, y: x | y, inside))
+    # Few salts, as keys may be many; what is left of a hot key is split by Spark's skew handling.
+    held = salted_join(rows, facts.hint("shuffle_hash"), by, salts=4, null_safe=True).where(reduce(lambda x, y: x | y, inside))
     mine = [f"_m{i}" for i in ranks]
     marked = held.select(
         *by, "_n", "_v", *[F.when(test, F.col(f"_r{i}")).alias(m) for i, m, test in zip(ranks, mine, inside, strict=True)],
@@ -86,14 +87,12 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key with an exact quantile column for each ``name: probability``.
 
-    NULL values are ignored; a group with only NULLs yields no row. Without keys the result is one row, or none.
+    NULL values are ignored; a group with only NULLs yields no row. A NULL key is a group. Without keys the result is one row, or none.
     """
     whole = not keys
     by = ["_all"] if whole else list(keys)
     rows = df.withColumn("_all", F.lit(1)) if whole else df
     rows = rows.select(*by, F.col(value).cast("double").alias("_v"))
-    for key in by:  # a null key is a group of its own
-        rows = rows.withColumn(key, F.struct(F.col(key)))
     rows = rows.where("_v is not null")
     places = [position(p)(F.col("_n")) for p in quantiles.values()]
     ends = [end(at).cast("long") for at in places for end in (F.floor, F.ceil)]
@@ -118,7 +117,7 @@ def exact_quantiles(
         outputs.append((low + (high - low) * (at - F.floor(at))).alias(name))
     if count_as:
         outputs.append(F.col("_n").alias(count_as))
-    return found.select(*([] if whole else [F.col(k)[k].alias(k) for k in by]), *outputs)
+    return found.select(*([] if whole else by), *outputs)
 
 
 def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -136,11 +136,13 @@ def map_to_grid(locations: DataFrame, grid: DataFrame, *, max_grid_distance_km:
     lines = lambda c: F.array_sort(F.collect_set(F.col(c).cast("double")))
     axes = grid.agg(lines("grid_lat").alias("_lats"), lines("grid_lon").alias("_lons")).where("size(_lats) > 0 and size(_lons) > 0")
     west, east = F.element_at("_lons", 1), F.element_at("_lons", -1)
-    turned = F.concat(F.array(east - 360.0), F.col("_lons"), F.array(west + 360.0))
+    turned = F.array_sort(F.array_distinct(F.concat(F.array(east - 360.0), F.col("_lons"), F.array(west + 360.0))))
+    axes = axes.select("_lats", turned.alias("_turned"), west.alias("_west"), east.alias("_east"))
     placed = locations.select(*LOCATION).where("latitude_centroid is not null and longitude_centroid is not null").crossJoin(F.broadcast(axes))  # one row
+    west, east = F.col("_west"), F.col("_east")
     lon = F.when(west >= 0, F.pmod("longitude_centroid", F.lit(360.0))).otherwise(F.col("longitude_centroid"))
-    found = placed.withColumns({"_turned": F.array_sort(F.array_distinct(turned)), "_lon": lon}).withColumns(
-        {"grid_lat": _nearest_line(F.col("_lats"), F.col("latitude_centroid")), "_line": _nearest_line(F.col("_turned"), F.col("_lon"))})
+    found = placed.withColumns(
+        {"grid_lat": _nearest_line(F.col("_lats"), F.col("latitude_centroid")), "_line": _nearest_line(F.col("_turned"), lon)})
     back = F.when(F.col("_line") > east, west).when(F.col("_line") < west, east).otherwise(F.col("_line"))
     mapped = found.withColumn("grid_lon", back).select(
         *LOCATION, "grid_lat", "grid_lon", F.col("grid_lat").alias("grid_latitude"), wrap_longitude("grid_lon").alias("grid_longitude")

@@ -213,7 +213,8 @@ def municipality_seasons(
 ) -> DataFrame:
     """Every placed municipality in every season with its nearest adequately covered station.
 
-    The nearest station is reported even beyond the radius, with its features withheld.
+    The nearest station is reported even beyond the radius, with its features withheld. ``seasons`` is read once for each
+    level of the search, so give a stored table, or one cut from its lineage.
     """
     adequate = seasons.where(F.col("season_coverage") >= minimum_coverage)
     audit = [c for c in METADATA_AUDIT if c in seasons.columns]

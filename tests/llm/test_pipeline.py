@@ -32,4 +32,4 @@ def test_run(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_one_query_for_each_operator(name):
-    assert name.split("_")[0] in {f"op{n}" for n in range(1, 11)}
+    assert name.split("_")[0] in {f"op{n}" for n in range(1, 14)}

@@ -111,9 +111,12 @@ def require(df: DataFrame, rules: dict[str, Column], what: str) -> DataFrame:
     return marked.where(ok).drop("violations")
 
 
-def guarded(df: DataFrame, offenders: DataFrame, message: Column) -> DataFrame:
-    """``df``, whose job fails with ``message`` (of a row of ``offenders``) if there is any; it adds no row and no job."""
-    none = offenders.where(F.raise_error(message).cast("boolean"))
+def guarded(df: DataFrame, facts: DataFrame, failing: Column, message: Column) -> DataFrame:
+    """``df``, whose job fails with ``message`` of a row of ``facts`` that is ``failing``; it adds no row and no job.
+
+    The message is raised inside the condition: beside it, the optimizer may evaluate it for other rows.
+    """
+    none = facts.where(F.when(failing, F.raise_error(message).cast("boolean")).otherwise(F.lit(False)))
     return df.unionAll(none.select(*[F.lit(None).cast(kind).alias(c) for c, kind in df.dtypes]))
 
 

@@ -226,7 +226,7 @@ def municipality_seasons(
         *MUNICIPALITY
     )
     # Seasons without an adequate station yield no rows; none at all fails the job.
-    nothing = targets.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0")
+    found = targets.agg(F.count(F.lit(1)).alias("_n"))
     nearest = extreme_neighbours(
         placed, targets, by=["season_year"], every_group=True,
         point_coordinates=("latitude_centroid", "longitude_centroid"),
@@ -248,7 +248,7 @@ def municipality_seasons(
         ),
         near, [*FEATURES, "season_coverage"],
     )
-    return guarded(withheld, nothing, F.lit("there is no adequate station in any season"))
+    return guarded(withheld, found, F.col("_n") == 0, F.lit("there is no adequate station in any season"))
 
 
 def climate_report(municipal: DataFrame) -> DataFrame:

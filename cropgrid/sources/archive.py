@@ -208,8 +208,8 @@ def hourly_readings(members: DataFrame) -> DataFrame:
 
 def checked_readings(members: DataFrame) -> DataFrame:
     """Hourly readings of all usable members; an archive without any fails the job."""
-    archives = parsed_members(members).groupBy("archive").agg(F.max("usable").alias("_any")).where("not _any")
-    return guarded(hourly_readings(members), archives, F.concat(F.lit("archive without a usable member: "), "archive"))
+    archives = parsed_members(members).groupBy("archive").agg(F.max("usable").alias("_any"))
+    return guarded(hourly_readings(members), archives, ~F.col("_any"), F.concat(F.lit("archive without a usable member: "), "archive"))
 
 
 def skipped_members(members: DataFrame) -> DataFrame:

@@ -149,8 +149,8 @@ def test_asserted_joins(spark):
         quality.many_to_one(left, twice, ["k"], "left").collect()
     assert one(quality.join_offenders(left, twice, ["k"])) == {"k": 3, "copies": 2, "rows_hit": 0}
     with pytest.raises(Exception, match="stop"):
-        quality.guarded(left, facts.where("k = 3"), F.lit("stop")).collect()
-    assert quality.guarded(left, facts.where("k = 4"), F.lit("stop")).count() == 4
+        quality.guarded(left, facts, F.col("k") == 3, F.concat(F.lit("stop"), "k")).collect()
+    assert quality.guarded(left, facts, F.col("k") == 4, F.concat(F.lit("stop"), "k")).count() == 4
 
 
 def test_differences_count_copies(spark):

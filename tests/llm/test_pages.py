@@ -1,6 +1,9 @@
 """Article text that stands in links, in several parts or under wrappers with telling names is kept."""
 
-from cropgrid.llm.html_text import main_text
+import time
+
+import pytest
+from cropgrid.llm.html_text import extract, main_text
 
 LONG = "A sentence of the story that goes on for a while. " * 4
 
@@ -25,3 +28,37 @@ def test_names_of_wrappers():
     comments = f"<div id=comments><article><p>{LONG * 3}</p></article></div>"
     assert main_text(f"<div><p>{LONG}</p></div>{comments}") == LONG.strip()
     assert main_text("<div class=menu><a href=x>one</a></div><div class=sidebar><p>side</p></div><p>the text</p>") == "the text"
+
+
+def test_no_text_is_lost_to_markup():
+    assert main_text("<p title=it's>Hello first</p><p>I don't know</p><p>end of it's</p>") == "Hello first\nI don't know\nend of it's"
+    assert main_text("<p>some words</p>< 5 items remain") == "some words\n< 5 items remain"
+    assert main_text("<p>a < b, c </ d</p><p title=\"x>y\">z<br/>w</p>") == "a < b, c </ d\nz w"
+    assert main_text("<article><div class=share-of-market>10 %</div><p class='notice-period'>May</p><div class='share-buttons'>x</div></article>") == "10 %\nMay"
+    assert main_text("<p>one</p><svg/><p>two</p><select><option>three</p><p>four") == "one\ntwo\nthree\nfour"
+    assert main_text("<p>a<!-->b<!-- c --!>d<SCRIPT>if (a</b) x('</p>')</Script >e<style>p{}</style\n>f") == "a b d e f"
+    assert main_text("<p title='never closed>kept</p><p>and kept") == "kept\nand kept"
+    assert main_text("<p>&#" + "9" * 5000 + ";&#0000000065;</p>") == "\ufffdA"
+
+
+def test_lines_beside_an_article_do_not_surge():
+    page = f"<p>{LONG}</p><article><p>short</p></article><p>{LONG}</p><article><p><a href=x>link</a></p></article>"
+    assert main_text(page).startswith("short\n") and main_text(page).endswith("\nlink")
+    far = "".join(f"<p>{LONG}{i}</p>" for i in range(5))
+    assert main_text(f"{far}<article><p>one</p></article>{far}<article><p>two</p></article>{far}") == "one\ntwo"
+
+
+@pytest.mark.parametrize("page", ["<script " * 100000, "<a " * 100000, "<p title='" * 99999, "<!--" * 100000, "</" * 100000, "<svg>" * 100000, "<p a=b " * 50000,
+                                  "<div>" * 50000 + "</x>" * 50000, "<" * 200000, "<script>" * 50000, "<p class='" + "nav_" * 50000 + "!'>", "<nav>" * 50000])
+def test_broken_pages_take_linear_time(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 5
+
+
+def test_tables(spark):
+    kinds = "page_id long, url string, html string, text string, n_chars string"
+    assert extract(spark.createDataFrame([], kinds)).count() == 0
+    rows = [(1, "u", "<p>a", "x", "y"), (1, "u", "<p>a", "x", "y"), (None, None, None, None, None), (2, "v", f"<p>{LONG * 20000}</p>", "", "")]
+    found = [tuple(r) for r in extract(spark.createDataFrame(rows, kinds)).collect()]
+    assert sorted(found, key=str) == sorted([(1, "u", "a", 1)] * 2 + [(None, None, "", 0), (2, "v", (LONG * 20000).strip(), len(LONG) * 20000 - 1)], key=str)

@@ -50,7 +50,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    found = secrets_scan.scan(docs)
+    found = secrets_scan.scan(docs, keep=("doc_id",))
     count = lambda kind: F.expr(f"cast(size(filter(verdicts, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}")
     return found.select(
         "_doc.doc_id", *[count(kind) for kind in secrets_scan.BASE],

@@ -300,6 +300,30 @@ def test_mixing(docs):
     assert len(mixing.scores(docs.where("doc_id = 6 or doc_id = 8")).collect()) == 2
 
 
+def test_mixing_uses_every_training_token(docs, monkeypatch):
+    """What is broadcast and how many words some sample would have change no score."""
+    scored = lambda: sorted(((r.doc_id is None, r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)), r.score) for r in mixing.scores(docs.where("doc_id is not null")).collect())
+    whole = scored()
+    monkeypatch.setattr(mixing, "HOT", 3)
+    monkeypatch.setattr(mixing, "SAMPLE", 3, raising=False)
+    again = scored()
+    assert [r[0] for r in again] == [r[0] for r in whole]
+    assert all(abs(a[1] - b[1]) < 1e-4 * abs(b[1]) for a, b in zip(again, whole, strict=True))
+
+
+def test_mixing_weights_are_learned_from_all_words(spark):
+    import numpy as np
+    code = mixing.Code(np.ones(256))
+    spelling = [f"{a}{b}{c}".encode() for a in "bcdfg" for b in "aeiou" for c in ("n", "st", "ll")]
+    words = spark.createDataFrame([(w, i % 4 + 1) for i, w in enumerate(spelling)], "spelling binary, n long").repartition(4)
+    table = spark.sparkContext.broadcast(mixing.table_sums(words, code))
+    one = mixing.Model(table.value, code)
+    for _ in range(mixing.PASSES):
+        one.step(one.slopes(spelling, np.array([i % 4 + 1.0 for i in range(len(spelling))])))
+    assert np.abs(one.weights - mixing.Model(table.value, code).weights).max() > 0.05
+    assert np.allclose(mixing.learned(words, table, code), one.weights, atol=1e-3)
+
+
 def test_code_is_complete():
     code = mixing.Code(np.arange(256.0))
     assert abs(sum(2.0 ** -d for d in code.depth) - 1) < 1e-12

@@ -47,6 +47,8 @@ SALTS = 32
 BLOCK = 1024
 #: One text in so many is looked at for frequent shingles, those in at least so many of these count, and so many are broadcast (8 bytes each).
 SHARE, SEEN, FREQUENT = 32, 3, 1 << 20
+#: Bits that ids are dealt over by hash before a shuffle (8 MB in all), and those of one row.
+SPOTS, ROW = 1 << 26, 1 << 15
 
 
 def sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,6 +271,15 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.mapInArrow(each, "a long, b long").distinct()
 
 
+def maybe_in(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id may be one of `nodes`: all that are, and a few others, so that a join need not shuffle the rest."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(SPOTS))
+    at, bit = (spot / ROW).cast("int"), (spot % ROW).cast("int")
+    bits = nodes.select(at.alias("at"), bit.cast("long").alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    found = docs.withColumn("at", at).withColumn("bit", bit).join(F.broadcast(bits), "at")
+    return found.where("shiftright(cast(conv(hex(substring(bits, bit div 8 + 1, 1)), 16, 10) as int), bit % 8) % 2 = 1").select(*docs.columns)
+
+
 class Held:
     """Sets that many others are compared with, as rows of one growing sketch table for each width in use."""
 
@@ -344,7 +355,7 @@ def groups(docs: DataFrame) -> DataFrame:
     starred = cut_lineage(represented(stars(keys_of(own.where("doc_id is not null"), True, frequent)), known))
     nodes = cut_lineage(starred.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     tried = cut_lineage(near(starred, known))
-    texts = kept_table(own.join(nodes, "doc_id"), "texts")
+    texts = kept_table(maybe_in(own, nodes).join(nodes, "doc_id"), "texts")
     links = cut_lineage(linked(tried, texts))
     made = cut_lineage(components(links))
     of = nodes.join(made, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))

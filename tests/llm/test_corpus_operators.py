@@ -49,6 +49,16 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def test_jaccard_shuffles_few_texts_without_links(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in [*range(-500, 500), None, 2**62, 7]], "doc_id long, text string")
+    nodes = spark.createDataFrame([(i,) for i in [*range(-500, 500, 10), 2**62, 7, 10**9]], "doc_id long")
+    found = [tuple(r) for r in jaccard.maybe_in(docs, nodes).collect()]
+    kept = Counter((i, f"t{i}") for i in [*range(-500, 500, 10), 2**62, 7, 7])
+    assert not kept - Counter(found)
+    assert len(found) < sum(kept.values()) + 10
+    assert not jaccard.maybe_in(docs, nodes.limit(0)).count()
+
+
 def test_jaccard(spark, docs):
     parent = {i: i for i, _ in TEXTS if i is not None}
 

@@ -58,17 +58,23 @@ def _opened(placed: DataFrame, by: list[str], wanted: list[Column]) -> DataFrame
     return placed.groupBy(*by, "_n").agg(*parts)
 
 
-def _again(rows: DataFrame, facts: DataFrame, by: list[str], ranks: range, range_of: Callable[[Column, Column], Column]) -> DataFrame:
+def _again(rows: DataFrame, facts: DataFrame, by: list[str], ranks: range, range_of: Callable[[Column, Column], Column], few: bool) -> DataFrame:
     """A further round: the values in the ranges of ``facts``, counted by ``range_of`` the ranges' bounds.
 
-    Ranges of two ranks are the same or apart, so the ranks that a value counts for tell its range.
+    Ranges of two ranks are the same or apart, so the ranks that a value counts for tell its range. ``few``: keys are few enough
+    to send their facts to every task, so that no value is moved.
     """
     v = F.col("_v")
     inside = [(v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")) for i in ranks]
     bound = lambda side: F.coalesce(*[F.when(test, F.col(f"_{side}{i}")) for i, test in zip(ranks, inside, strict=True)])
     # Not by broadcasting the values to the few tasks that hold the facts: the facts are spread, and the values stay spread.
     # Few salts, as keys may be many; what is left of a hot key is split by Spark's skew handling.
-    held = salted_join(rows, facts.hint("shuffle_hash"), by, salts=4, null_safe=True).where(reduce(lambda x, y: x | y, inside))
+    if few:
+        named = facts.withColumnsRenamed({c: f"_of_{c}" for c in by})
+        met = rows.join(F.broadcast(named), reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]))
+    else:
+        met = salted_join(rows, facts.hint("shuffle_hash"), by, salts=4, null_safe=True)
+    held = met.where(reduce(lambda x, y: x | y, inside))
     mine = [f"_m{i}" for i in ranks]
     marked = held.select(
         *by, "_n", "_v", *[F.when(test, F.col(f"_r{i}")).alias(m) for i, m, test in zip(ranks, mine, inside, strict=True)],
@@ -84,12 +90,15 @@ def exact_quantiles(
     *,
     position: Callable[[float], Callable[[Column], Column]] = linear,
     count_as: str | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """One row per key with an exact quantile column for each ``name: probability``.
 
     NULL values are ignored; a group with only NULLs yields no row. A NULL key is a group. Without keys the result is one row, or none.
+    ``few`` tells that the keys are few whatever the table's size, as names of columns are.
     """
     whole = not keys
+    few = few or whole
     by = ["_all"] if whole else list(keys)
     rows = df.withColumn("_all", F.lit(1)) if whole else df
     rows = rows.select(*by, F.col(value).cast("double").alias("_v"))
@@ -108,8 +117,8 @@ def exact_quantiles(
 
     first = _counted(rows.withColumn("_range", F.when(v == float("-inf"), F.lit(-(1 << 62))).otherwise(steep)), by)
     first = first.withColumn("_n", F.sum("_in").over(Window.partitionBy(*by)))
-    facts = _again(rows, _opened(first, by, ends), by, ranks, even)
-    found = _again(rows, facts, by, ranks, lambda *_: v)  # the last ranges are single values
+    facts = _again(rows, _opened(first, by, ends), by, ranks, even, few)
+    found = _again(rows, facts, by, ranks, lambda *_: v, few)  # the last ranges are single values
 
     outputs: list[Column] = []
     for i, (name, at) in enumerate(zip(quantiles, places, strict=True)):
@@ -125,4 +134,4 @@ def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         keys, columns, "name", "value"
     )
-    return exact_quantiles(long, [*keys, "name"], "value", {"median": 0.5})
+    return exact_quantiles(long, [*keys, "name"], "value", {"median": 0.5}, few=not keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields, replace
 from functools import reduce
+from math import ceil
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
@@ -17,17 +18,20 @@ from pyspark.sql import functions as F
 from ..config import ModelSettings
 from ..functions.columns import clip, finite_or_null
 from ..operators.metrics import (
-    BASELINES, TARGET, conformal_radius, evaluate_intervals, interval, metrics_by_source,
+    BASELINES, SOURCE, TARGET, conformal_radius, evaluate_intervals, interval, metrics_by_source,
     performance_confidence, regression_metrics, selection_scores, with_splits,
 )
 from ..operators.quality import many_to_one
 from ..operators.quantiles import exact_medians
+from ..session import at_once, kept_table
 from .training import LAG, MODEL_FEATURES
 
 # Fixed value: alert when a prediction rests on a climate source absent from training.
 UNSEEN_SOURCE = "CLIMATE_SOURCE_NOT_IN_MODEL_TRAINING"
 INTERVAL_METHOD = "split_conformal_absolute_residual"
 WITHOUT_CLIMATE = "IBGE/PAM history; unavailable climate features imputed"
+#: Rows that a fit's task reads at least: boosting runs hundreds of jobs one after another, whose time is that of their tasks' start.
+FIT_ROWS = 1 << 17
 
 Candidates = dict[str, Callable[[int], Estimator]]
 
@@ -89,10 +93,12 @@ class YieldModel:
 
 def fit_model(
     name: str, build: Callable[[int], Estimator], train: DataFrame, seed: int, *,
-    imputation: Imputation | None = None,
+    imputation: Imputation | None = None, rows: int | None = None,
 ) -> YieldModel:
+    """``rows``, where it is known, is the number of training rows, which then are read by no more tasks than they need."""
     known = imputation or Imputation.fit(train)
-    return YieldModel(name, known, build(seed).fit(known.apply(train)))
+    ready = known.apply(train)
+    return YieldModel(name, known, build(seed).fit(ready if rows is None else ready.coalesce(max(1, ceil(rows / FIT_ROWS)))))
 
 
 @dataclass(frozen=True)
@@ -118,22 +124,36 @@ def evaluate_candidates(
     frame: DataFrame, settings: ModelSettings | None = None, candidates: Candidates | None = None,
     features: list[str] = MODEL_FEATURES,
 ) -> Evaluation:
-    """Fit every candidate on both splits, compare with the baselines and pick one."""
+    """Fit every candidate on both splits, compare with the baselines and pick one.
+
+    The frame is kept as a table first: every task of a fit would carry the whole plan behind it. The fits of both splits run at the
+    same time. The intervals are those of the choice as fitted on the temporal split, whose training rows are the years before the
+    calibration year.
+    """
     cfg, makers = settings or ModelSettings(), candidates or default_candidates()
-    marked = with_splits(
+    used = {"ano", TARGET, SOURCE, *features, *BASELINES.values(), "temporal_test", "geographic_test"}
+    split = with_splits(
         frame, seed=cfg.random_seed, fraction=cfg.geographic_holdout_fraction,
         test_start_year=cfg.temporal_test_start_year,
-    ).persist()
-    measured, sources = [], []
-    for split in ("temporal", "geographic"):
-        test_flag = F.col(f"{split}_test")
-        train, test = marked.where(~test_flag), marked.where(test_flag)
-        if train.isEmpty() or test.isEmpty():
+    )
+    marked = kept_table(split.select(*[c for c in split.columns if c in used]), "marked")
+    flags = {split: F.col(f"{split}_test") for split in ("temporal", "geographic")}
+    train, test = {s: marked.where(~f) for s, f in flags.items()}, {s: marked.where(f) for s, f in flags.items()}
+    known = marked.agg(*[F.count_if(c).alias(f"{s}_{side}") for s, f in flags.items() for side, c in (("train", ~f), ("test", f))]).first()
+    for split in flags:
+        if not known[f"{split}_train"] or not known[f"{split}_test"]:
             raise ValueError(f"the {split} split is empty")
-        scored, medians = test, Imputation.fit(train, features)  # shared by the candidates of a split
-        for name, build in makers.items():
-            model = fit_model(name, build, train, cfg.random_seed, imputation=medians)
-            scored = model.predict(scored, name)
+    # One imputation for the candidates of a split.
+    medians = dict(zip(flags, at_once(frame.sparkSession, [lambda s=s: Imputation.fit(train[s], features) for s in flags]), strict=True))
+    pairs = [(name, split) for name in makers for split in flags]
+    fits = dict(zip(pairs, at_once(frame.sparkSession, [
+        lambda n=name, s=split: fit_model(n, makers[n], train[s], cfg.random_seed, imputation=medians[s], rows=known[f"{s}_train"])
+        for name, split in pairs]), strict=True))
+    measured, sources = [], []
+    for split in flags:
+        scored = test[split]
+        for name in makers:
+            scored = fits[name, split].predict(scored, name)
         columns = {**{n: n for n in makers}, **BASELINES}
         measured.append(regression_metrics(scored, columns).withColumn("split", F.lit(split)))
         for name in makers:
@@ -146,10 +166,7 @@ def evaluate_candidates(
     rank = {n: i for i, n in enumerate(makers)}
     best = min(scores.collect(), key=lambda r: (r["selection_score"], rank[r["predictor"]]))
     year = cfg.temporal_test_start_year
-    before = marked.where(F.col("ano") < year)
-    model = fit_model(
-        best["predictor"], makers[best["predictor"]], before, cfg.random_seed, imputation=Imputation.fit(before, features)
-    )
+    model = fits[best["predictor"], "temporal"]
     intervals = evaluate_intervals(
         model.predict(marked.where(F.col("ano") >= year)), "prediction", calibration_year=year,
         coverage=cfg.prediction_interval_coverage,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import with_defaults
 from ..operators.quality import many_to_one, missing_counts
 from ..operators.quantiles import exact_quantiles
+from ..session import kept_table
 from .history import history_features, trailing_median
 from .station import FEATURES, STATION_SOURCE
 
@@ -48,10 +49,12 @@ def lagged_climate(climate: DataFrame) -> DataFrame:
 def regional_medians(history: DataFrame, *, positive_only: bool) -> DataFrame:
     """State median yield of year Y-1 under the key of year Y.
 
-    Training keeps zero yields and inference drops them; the caller states which.
+    Training keeps zero yields and inference drops them; the caller states which. The yields are kept once, as their sums may
+    differ in the last digit when they are made again, and a median is looked for in three rounds.
     """
     rows = history.where(F.col(TARGET) > 0) if positive_only else history
-    yearly = exact_quantiles(rows, ["uf", "ano"], TARGET, {"baseline_regional_median_lag1": 0.5})
+    kept = kept_table(rows.where(F.col(TARGET).isNotNull()).select("uf", "ano", TARGET), "yields")
+    yearly = exact_quantiles(kept, ["uf", "ano"], TARGET, {"baseline_regional_median_lag1": 0.5})
     return yearly.withColumn("ano", F.col("ano") + 1)
 
 

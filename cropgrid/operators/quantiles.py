@@ -12,7 +12,7 @@ and exact in each round, so a rank can not be missed.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,7 +58,7 @@ def _opened(placed: DataFrame, by: list[str], wanted: list[Column]) -> DataFrame
     return placed.groupBy(*by, "_n").agg(*parts)
 
 
-def _again(rows: DataFrame, facts: DataFrame, by: list[str], ranks: range, range_of: Callable[[Column, Column], Column], few: bool) -> DataFrame:
+def _again(rows: DataFrame, facts: DataFrame, by: list[str], ranks: range, range_of: Callable[[Column, Column], Column], few: bool = False) -> DataFrame:
     """A further round: the values in the ranges of ``facts``, counted by ``range_of`` the ranges' bounds.
 
     Ranges of two ranks are the same or apart, so the ranks that a value counts for tell its range. ``few``: keys are few enough
@@ -98,7 +98,7 @@ def exact_quantiles(
     ``few`` tells that the keys are few whatever the table's size, as names of columns are.
     """
     whole = not keys
-    few = few or whole
+    again = partial(_again, few=True) if few or whole else _again
     by = ["_all"] if whole else list(keys)
     rows = df.withColumn("_all", F.lit(1)) if whole else df
     rows = rows.select(*by, F.col(value).cast("double").alias("_v"))
@@ -117,8 +117,8 @@ def exact_quantiles(
 
     first = _counted(rows.withColumn("_range", F.when(v == float("-inf"), F.lit(-(1 << 62))).otherwise(steep)), by)
     first = first.withColumn("_n", F.sum("_in").over(Window.partitionBy(*by)))
-    facts = _again(rows, _opened(first, by, ends), by, ranks, even, few)
-    found = _again(rows, facts, by, ranks, lambda *_: v, few)  # the last ranges are single values
+    facts = again(rows, _opened(first, by, ends), by, ranks, even)
+    found = again(rows, facts, by, ranks, lambda *_: v)  # the last ranges are single values
 
     outputs: list[Column] = []
     for i, (name, at) in enumerate(zip(quantiles, places, strict=True)):
